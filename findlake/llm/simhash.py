@@ -63,7 +63,7 @@ def close_pairs(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     words = -(-n // 64)
     bits = np.zeros((words * 64, 64), np.uint8)
     bits[:n] = np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sliced = np.packbits(bits.T, axis=1, bitorder="little").view("<u8")  # [bit, word]: bit b of 64 fingerprints
+    sliced = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")  # [bit, word]: bit b of 64 fingerprints
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     left, right = [], []
     counters = radius.bit_length() + 1
