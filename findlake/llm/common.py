@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], size_of: str, most: int) -> Iterat
     """Cuts record batches so that the named string or binary column holds about `most` bytes in each."""
     for batch in batches:
         col = batch.column(size_of)
-        lengths = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(lengths.tolist()):
             if total and total + n > most:

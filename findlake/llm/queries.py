@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import byte_bpe, exact_dedup, mixing, simhash, token_files
+from findlake.llm import byte_bpe, exact_dedup, mixing, simhash, token_files, toxicity
 from findlake.llm.common import id_and_text, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_exact_dedup, op6_simhash, op7_byte_bpe, op9_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op4_exact_dedup, op6_simhash, op7_byte_bpe, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
