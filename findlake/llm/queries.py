@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import byte_bpe, exact_dedup, mixing, simhash, token_files, toxicity
+from findlake.llm import byte_bpe, exact_dedup, html_text, mixing, simhash, token_files, toxicity
 from findlake.llm.common import id_and_text, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,6 +34,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.decode(ids, path, public_tokenizers.PATTERN))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -44,7 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_exact_dedup, op6_simhash, op7_byte_bpe, op9_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op4_exact_dedup, op6_simhash, op7_byte_bpe, op8_html_text, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
