@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import byte_bpe, exact_dedup, html_text, mixing, simhash, token_files, toxicity
+from findlake.llm import byte_bpe, exact_dedup, html_text, mixing, simhash, token_files, topk, toxicity
 from findlake.llm.common import id_and_text, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,8 +52,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_exact_dedup, op6_simhash, op7_byte_bpe, op8_html_text, op9_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op4_exact_dedup, op5_topk, op6_simhash, op7_byte_bpe, op8_html_text, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.EXACT_DEDUP_SQL}
+    return {"op4_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op5_topk": topk.TOP_K_SQL}
