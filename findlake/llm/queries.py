@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import byte_bpe, exact_dedup, html_text, mixing, simhash, token_files, topk, toxicity
+from findlake.llm import byte_bpe, exact_dedup, html_text, mixing, repeats, simhash, token_files, topk, toxicity
 from findlake.llm.common import id_and_text, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_exact_dedup, op5_topk, op6_simhash, op7_byte_bpe, op8_html_text, op9_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_repeats, op4_exact_dedup, op5_topk, op6_simhash, op7_byte_bpe, op8_html_text, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
