@@ -9,6 +9,7 @@ are encoded separately, and the worker keeps what it has encoded, because words
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from findlake.llm.common import slices
 
 #: Pieces a worker keeps; when full it starts anew, which costs time and changes nothing else.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 #: Pieces longer than this are encoded but not kept.
 KEPT_LENGTH = 64
 DEAD = 1 << 62
@@ -119,12 +120,20 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+#: White space that stands beside white space or at an end: there a match may hold several characters of it.
+BESIDE = re.compile(r"\s(?=\s|\Z)|\A\s|[^\S \n]|\0")
+
+
 def split_at_words(text: str) -> list[str]:
-    """Cuts before each space that a non-space follows.
+    """Cuts text into chunks that the pattern matches the same way by themselves.
 
-    The pattern always ends a match there: a run of white space leaves its last space to the word after it, and no
-    other kind of match goes on over a space. So the chunks can be matched by themselves.
+    The pattern always ends a match before a space that a non-space follows: a run of white space leaves its last space
+    to the word after it, and no other kind of match goes on over white space. A line end between non-spaces is a match
+    of its own. So chunks are words, each with the space before it, and line ends; where white space stands beside white
+    space, only the first kind of cut is made.
     """
+    if not BESIDE.search(text):
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
     parts = text.split(" ")
     out = [parts[0]] if parts[0] else []
     for p in parts[1:]:

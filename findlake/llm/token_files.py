@@ -31,7 +31,7 @@ from findlake.llm.common import id_and_text, new_path
 BLOCK = 65_536
 #: Ids after which a shard ends with the document at hand.
 SHARD_IDS = 2_000_000
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 KEPT_LENGTH = 64
 SHARDS = "part int, shard int, n_ids long, n_docs long, first_doc long, payload binary"
 
@@ -112,7 +112,11 @@ class Shard:
 
 
 class LibraryTokenizer:
-    """The tokenizers library over chunks that end where its pre-tokenizer ends a match; what repeats is encoded once."""
+    """The tokenizers library over chunks that end where its pre-tokenizer ends a match; what repeats is encoded once.
+
+    The chunks that are new go to the library as one text, for a call costs more than a word; the tokens' lengths in
+    bytes say where each chunk's ids end.
+    """
 
     def __init__(self, path: str):
         import os
@@ -122,22 +126,38 @@ class LibraryTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
+        size = self.inner.get_vocab_size()
+        # a character of a byte-level vocabulary stands for one byte
+        self.sizes = np.array([len(self.inner.id_to_token(i) or "") for i in range(size)], np.int64)
         self.kept: dict[str, bytes] = {}
 
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that begin with a non-space or with one space and a non-space."""
+        apart = np.array([c[0] != " " for c in chunks], np.int64)  # these get a line end before them, which is one token
+        (found,) = self.inner.encode_batch_fast(["".join([c if c[0] == " " else "\n" + c for c in chunks])], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode()) for c in chunks] + apart)) + 1
+        starts = np.concatenate([[0], ends[:-1]]) + apart
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [split_at_words(t) for t in texts]
-        new = list({c for chunks in split for c in chunks}.difference(self.kept))
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept.clear()
-            new = list({c for chunks in split for c in chunks})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for c, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[c] = np.array(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(self.kept.__getitem__, chunks)), "<u4") for chunks in split]
+        kept = self.kept
+        new = set().union(*split).difference(kept)
+        if len(kept) + len(new) > KEPT_PIECES:
+            kept.clear()
+            new = set().union(*split)
+        rest = [c for c in new if not c[0].isspace() or c[0] == " " and c[1:] and not c[1].isspace()]
+        for at in range(0, len(rest), 4_096):
+            part = rest[at : at + 4_096]
+            kept.update(zip(part, self._encode(part), strict=True))
+        for c in new.difference(rest):  # white space first: the library sees it alone
+            kept[c] = np.array(self.inner.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), "<u4") for chunks in split]
         for c in new:
             if len(c) > KEPT_LENGTH:
-                del self.kept[c]
+                del kept[c]
         return out
 
 
