@@ -29,7 +29,7 @@ MANY_WINDOWS = 2_000
 #: Windows whose strings are hashed together on that way.
 HASHED_WINDOWS = 2_000
 _M = np.uint64(0xFF51AFD7ED558CCD)
-WINDOWS = "doc_id long, th long, start int, anchor long, n long, bytes binary"
+WINDOWS = "doc_id long, th long, start int, anchor long, n long, bytes binary, m long"
 MARKS = "doc_id long, th long, start int, end int"
 
 
@@ -228,15 +228,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 part, rows = batch.slice(at, 200), []
                 for doc, th, text, places in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     data = text.encode("utf-8", "replace")
-                    rows += [(doc, th, p["start"], p["anchor"], p["n"], data[p["start"] : p["start"] + p["strings"] - 1 + length]) for p in places]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "th", "start", "anchor", "n", "bytes"])
+                    rows += [(doc, th, p["start"], p["anchor"], p["n"], data[p["start"] : p["start"] + p["strings"] - 1 + length], p["m"]) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "th", "start", "anchor", "n", "bytes", "m"])
 
     distinct_texts = texts.select("doc_id", "th", "text")
 
-    def windows(which: DataFrame) -> DataFrame:
-        places = which.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "strings", "anchor", "n")).alias("places"))
-        rows = distinct_texts.withColumn("key", F.struct("doc_id", "th")).join(places.select(F.struct("doc_id", "th").alias("key"), "places"), "key")
-        return rows.select("key.doc_id", "key.th", "text", "places").mapInArrow(cut, WINDOWS)
+    # the windows of anchors that have different ones, cut once for both ways
+    places = live.where("m > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "strings", "anchor", "n", "m")).alias("places"))
+    holding = distinct_texts.withColumn("key", F.struct("doc_id", "th")).join(places.select(F.struct("doc_id", "th").alias("key"), "places"), "key")
+    windows = written(holding.select("key.doc_id", "key.th", "text", "places").mapInArrow(cut, WINDOWS), "windows")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[tuple] = []
@@ -256,11 +256,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         if open_:
             yield close()
 
-    few = windows(live.where((F.col("m") > 1) & (F.col("m") <= many))).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, MARKS)
+    few = windows.where(F.col("m") <= many).drop("m").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, MARKS)
     marks = whole.unionByName(few)
-    hot = live.where(F.col("m") > many)
+    hot = windows.where(F.col("m") > many).drop("m")
     if n_hot := hot.count():
-        marks = marks.unionByName(_by_hash(written(windows(hot), "hot-windows"), n_hot, length))
+        marks = marks.unionByName(_by_hash(hot, n_hot, length))
     spans = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("marks")).select(F.struct("doc_id", "th").alias("key"), "marks")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
