@@ -188,7 +188,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
     return _mapped(df, ids_col, bytes_col, T.BinaryType(), texts, 500)
 
 
-def digest(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 from the columns ids and decoded."""
+def digest(df: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 from the columns ids and decoded, and the columns that more names."""
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)

@@ -77,3 +77,18 @@ def slices(batches: Iterator[pa.RecordBatch], size_of: str, most: int) -> Iterat
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list:
+    """Columns doc_id and th (hash of the text) that name a row up to rows that repeat both."""
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")]
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole, that the (doc_id, th) rows of kept name; of rows that repeat both id and text one."""
+    doc_id, th = row_key(docs, id_col, text_col)
+    names = kept.select(F.struct(F.col("doc_id"), F.col("th")).alias("__kept"))
+    key = F.struct(doc_id, th)
+    out = docs.join(names, key == F.col("__kept"), "left_semi")
+    again = docs.select(doc_id, th).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return out if again.isEmpty() else out.dropDuplicates([id_col, text_col])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.common import LOWER, id_and_text
+from findlake.llm.common import LOWER, id_and_text, keep_rows, row_key
 
 
 def normalised(text: Column) -> Column:
@@ -36,9 +36,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text one stays."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of docs that stay, with all their columns: of equal texts the row with the largest id."""
+    rows = docs.select(*row_key(docs, id_col, text_col), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    kept = rows.groupBy(F.md5("text"), "text").agg(F.max(F.struct("doc_id", "th")).alias("kept")).select("kept.*")
+    return keep_rows(docs, kept, id_col, text_col)
 
 
 EXACT_DEDUP_SQL = """

@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import byte_bpe, exact_dedup, html_text, mixing, repeats, simhash, token_files, topk, toxicity
+from findlake.llm import byte_bpe, exact_dedup, html_text, mixing, repeats, secret_scan, simhash, token_files, topk, toxicity
 from findlake.llm.common import id_and_text, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
+WORDS = "word_bpe_49k.json"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.repeats(table(spark, sf_dir, "documents")))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = public_tokenizers.path(WORDS)
+    forest = secret_scan.train(secret_scan.made_table(spark, words), words)
+    return secret_scan.scan(table(spark, sf_dir, "documents"), forest, words)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,7 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_repeats, op4_exact_dedup, op5_topk, op6_simhash, op7_byte_bpe, op8_html_text, op9_mixing, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_secret_scan, op4_exact_dedup, op5_topk, op6_simhash, op7_byte_bpe, op8_html_text, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.common import drop_written, id_and_text, written
+from findlake.llm.common import drop_written, id_and_text, keep_rows, written
 
 #: Fingerprints in a bucket that are compared with each other; larger buckets go by named neighbours.
 BUCKET = 4_096
@@ -47,14 +47,14 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row; null text counts as empty."""
+    """doc_id, th (hash of the text) and fp (the fingerprint as a signed long) of each row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def close_pairs(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (least doc_id reachable over links, itself included), one row per input row.
+    """doc_id, th, fp, component_id (least doc_id reachable over links, itself included), one row per input row.
 
     Texts lower-case A-Z and split at ASCII white space; texts of fewer words than a shingle are one shingle, texts
     without words (null ones too) have fingerprint zero and link like any other. Equal fingerprints link at once.
@@ -200,10 +200,11 @@ def simhash_components(docs: DataFrame, radius: int = 2, words: int = 3, id_col:
     placed = heads.join(roots, heads.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("head").alias("component_id"))
     of = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(of, "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the least id of their component, with all their columns."""
-    kept = simhash_components(docs, radius, words, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col])
+    found = simhash_components(docs, radius, words, id_col, text_col)
+    first = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("th").alias("th"))
+    return keep_rows(docs, first.select(F.col("component_id").alias("doc_id"), "th"), id_col, text_col)
