@@ -3,7 +3,8 @@
 A leaf of the tree holds, for the live part that begins at its byte, the rank of the token that this part and the next
 live part would make; the root is the leftmost least rank. A merge touches three leaves: the merged part, its right
 neighbour, which dies, and its left neighbour; each is one walk to the root. Matches of the pre-tokenizer's pattern
-are encoded separately, and the worker keeps what it has encoded, because words repeat.
+are encoded separately. The short ones that are new in a batch of texts go through their trees side by side, as the rows of
+one array, a merge each at a time; the worker keeps what it has encoded, because words repeat.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import types as T
 from findlake.llm.common import slices
 
 #: Pieces a worker keeps; when full it starts anew, which costs time and changes nothing else.
-KEPT_PIECES = 600_000
-#: Pieces longer than this are encoded but not kept.
+KEPT_PIECES = 400_000
+#: Pieces longer than this are encoded by themselves and not kept.
 KEPT_LENGTH = 64
+#: Rows of one array of trees.
+ROWS = 20_000
 DEAD = 1 << 62
 
 
@@ -51,6 +54,7 @@ class ByteBPE:
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
+        self.table = self._table()
         self.findall = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}  # ids as native 32-bit integers
 
@@ -97,29 +101,126 @@ class ByteBPE:
                         tree[at] = value
         return tuple(x for x in ids if x >= 0)
 
-    def chunk(self, text: str) -> bytes:
-        """Ids of a text that ends where a match of the pattern ends."""
-        return array("i", chain.from_iterable(self.piece(m.encode()) for m in self.findall(text))).tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        chunks, kept = split_at_words(text), self.kept
-        new = set(chunks).difference(kept)
+    def _table(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """The pairs as an open-addressed hash table: keys, ranks and the shift of the hash."""
+        bits = max(4, (4 * len(self.pairs)).bit_length())
+        keys, ranks = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        key, rank = np.array(list(self.pairs), np.int64), np.array(list(self.pairs.values()), np.int64)
+        at = _slot(key, 64 - bits)
+        while len(key):
+            free = keys[at] < 0
+            keys[at[free]] = key[free]  # of several that want a slot the last has it
+            won = keys[at] == key
+            ranks[at[won]] = rank[won]
+            key, rank, at = key[~won], rank[~won], at[~won] + 1 & (1 << bits) - 1
+        return keys, ranks, 64 - bits
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that each two tokens make, -1 if none."""
+        keys, ranks, shift = self.table
+        key = a << 32 | b
+        at = _slot(key, shift)
+        seen = keys[at]
+        out = np.where(seen == key, ranks[at], -1)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & len(keys) - 1
+            seen = keys[at[open_]]
+            hit = seen == key[open_]
+            out[open_[hit]] = ranks[at[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
+    def side_by_side(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Ids of pieces of 2 to size + 1 bytes; size is a power of two, the leaves of each tree."""
+        m, width, wide = len(pieces), 2 * size + 2, size + 2
+        lengths = np.array([len(p) for p in pieces])
+        ids = np.full((m, wide), -1, np.int64)
+        inside = np.arange(wide)[None, :] < lengths[:, None]
+        ids[inside] = np.array(self.single, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.tile(np.arange(1, wide + 1), (m, 1))
+        before = np.tile(np.arange(-1, wide - 1), (m, 1))
+        tree = np.full((m, width), DEAD, np.int64)
+        row, place = np.nonzero(inside[:, 1:])
+        rank = self._pair(ids[row, place], ids[row, place + 1])
+        live = rank >= 0
+        tree[row[live], size + place[live]] = rank[live] << 8 | place[live]
+        level = size
+        while level > 1:
+            level >>= 1
+            np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2], out=tree[:, level : 2 * level])
+        ids, after, before, tree = (x.reshape(-1) for x in (ids, after, before, tree))
+        row = np.arange(m)
+        root = tree[1 + row * width]
+        row, root = row[root < DEAD], root[root < DEAD]
+        while len(row):
+            base, low, n = row * wide, row * width, lengths[row]
+            i, token = root & 255, root >> 8
+            j = after[base + i]
+            k, h = after[base + j], before[base + i]
+            ids[base + i], ids[base + j], after[base + i] = token, -1, k
+            before[base + np.minimum(k, wide - 1)] = i
+            here = self._pair(token, np.maximum(ids[base + np.minimum(k, wide - 1)], 0))
+            there = self._pair(np.maximum(ids[base + np.maximum(h, 0)], 0), token)
+            tree[low + size + i] = np.where((k < n) & (here >= 0), here << 8 | i, DEAD)
+            tree[low + size + j] = DEAD
+            left = np.where(h >= 0, h, i)
+            tree[low + size + left] = np.where(h >= 0, np.where(there >= 0, there << 8 | h, DEAD), tree[low + size + left])
+            for leaf in (i, np.minimum(j, size - 1), left):
+                at = size + leaf
+                for _ in range(size.bit_length() - 1):
+                    at >>= 1
+                    tree[low + at] = np.minimum(tree[low + 2 * at], tree[low + 2 * at + 1])
+            root = tree[low + 1]
+            row, root = row[root < DEAD], root[root < DEAD]
+        flat = ids[ids >= 0].astype(np.int32).tobytes()
+        ends = 4 * np.cumsum((ids.reshape(m, wide) >= 0).sum(axis=1))
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def pieces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of each of some distinct matches of the pattern."""
+        out, sizes = {}, {}
+        for p in new:
+            data = p.encode()
+            if (whole := self.ranks.get(data)) is not None:
+                out[p] = whole.to_bytes(4, "little")
+            elif 2 <= len(data) <= KEPT_LENGTH:
+                sizes.setdefault(1 << max(0, len(data) - 2).bit_length(), []).append((p, data))
+            else:
+                out[p] = array("i", self.piece(data)).tobytes()
+        for size, some in sizes.items():
+            for at in range(0, len(some), ROWS):
+                part = some[at : at + ROWS]
+                out.update(zip([p for p, _ in part], self.side_by_side([d for _, d in part], size), strict=True))
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        split = [split_at_words(t) for t in texts]
+        kept = self.kept
+        new = set().union(*split).difference(kept)
         if len(kept) + len(new) > KEPT_PIECES:
             kept.clear()
-            new = set(chunks)
-        kept.update((c, self.chunk(c)) for c in new)
-        ids = np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.int32)
-        for c in new:
-            if len(c) > KEPT_LENGTH:
-                del kept[c]
-        if len(kept) > KEPT_PIECES:  # one text alone had more
-            kept.clear()
-        return ids
+            new = set().union(*split)
+        found = [self.findall(c) for c in new]
+        ids = self.pieces(list(set(chain.from_iterable(found)).difference(kept)))
+        kept.update((c, b"".join([ids[p] if p in ids else kept[p] for p in matched])) for c, matched in zip(new, found, strict=True))
+        kept.update(ids)  # a match is a chunk as well, whatever it stood beside
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.int32) for chunks in split]
+        for c in [c for c in chain(new, ids) if len(c) > KEPT_LENGTH]:
+            kept.pop(c, None)
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def _slot(key: np.ndarray, shift: int) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(shift)).astype(np.int64)
+
+
 #: White space that stands beside white space or at an end: there a match may hold several characters of it.
 BESIDE = re.compile(r"\s(?=\s|\Z)|\A\s|[^\S \n]|\0")
 
@@ -168,7 +269,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
 
     def ids(texts: pa.Array) -> pa.Array:
         codec = _codec(path, pattern)
-        rows = [codec.encode(t or "") for t in texts.to_pylist()]
+        rows = codec.encode_batch([t or "" for t in texts.to_pylist()])
         ends = np.zeros(len(rows) + 1, np.int32)
         ends[1:] = np.cumsum([len(r) for r in rows])
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
