@@ -22,8 +22,8 @@ ORDERS = (3, 4, 5, 6)
 BITS = 20
 #: Labelled rows that the classifier is fitted on, the least by hash of their id.
 SAMPLE_ROWS = 20_000
-#: Buckets with a weight.
-FEATURES = 1 << 15
+#: Buckets with a weight, numbered in 16 bits.
+FEATURES = 1 << 14
 #: Characters that are turned into features at once.
 STEP_BYTES = 2 << 20
 
@@ -104,20 +104,29 @@ def _sum(group: pa.Table) -> pa.Table:
     return pa.table({"piece": group["piece"][:1], "clean": pa.array([totals[0].astype(np.int32).tobytes()], pa.binary()), "toxic": pa.array([totals[1].astype(np.int32).tobytes()], pa.binary())})
 
 
-def logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, l2: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on sparse rows (row sorted), by L-BFGS with backtracking.
+def logistic(ends: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression by L-BFGS with backtracking; the features of row i are feature[ends[i] : ends[i + 1]].
 
-    The rarer class weighs more, by the square root of how much rarer it is.
+    A feature that is there has the value of its scale. The rarer class weighs more, by the square root of how much
+    rarer it is. Rows are visited in blocks, so that memory stays near that of the features themselves.
     """
-    n = len(y)
+    n, size = len(y), len(scale)
     weight = np.where(y > 0, np.sqrt(max(1.0, n / max(1.0, y.sum()) - 1)), 1.0)
+    step = np.searchsorted(ends, np.arange(0, ends[-1] + 1, 500_000)).tolist()
+    blocks = [(a, b) for a, b in zip([0, *step[1:]], [*step[1:], n], strict=True) if a < b]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * w[feature], n) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        g = weight * (p - y)
-        grad = np.append(np.bincount(feature, value * g[row], size) + l2 * w[:-1], g.sum())
-        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + l2 / 2 * (w[:-1] ** 2).sum()), grad
+        own, grad, total = w[:-1] * scale, np.zeros(size), l2 / 2 * float((w[:-1] ** 2).sum())
+        bias = 0.0
+        for a, b in blocks:
+            f = feature[ends[a] : ends[b]]
+            row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+            z = np.bincount(row, own[f], b - a) + w[-1]
+            g = weight[a:b] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:b])
+            grad += np.bincount(f, g[row], size)
+            bias += g.sum()
+            total += float((weight[a:b] * (np.logaddexp(0, z) - y[a:b] * z)).sum())
+        return total, np.append(grad * scale + l2 * w[:-1], bias)
 
     w = np.zeros(size + 1)
     f, g = loss(w)
@@ -179,14 +188,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
         for batch in batches:
             for part in slices([batch], "text", STEP_BYTES):
                 row, bucket = grams(part.column(0).to_pylist(), wanted=wanted)
-                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(number[bucket].astype(np.int32))), part.column(1)], ["features", "toxic"])
-
-    rows = sample.mapInArrow(chosen, "features array<int>, toxic int").toArrow().combine_chunks()
-    lists = rows["features"].combine_chunks()
-    feature = lists.values.to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
-    w, bias = logistic(row, feature, ratio[feature], rows["toxic"].to_numpy().astype(float), len(kept))
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+                feature = number[bucket].astype("<u2")
+                yield pa.RecordBatch.from_arrays([pa.array([feature[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), part.column(1)], ["features", "toxic"])
+
+    rows = sample.mapInArrow(chosen, "features binary, toxic int").toArrow()
+    y = rows["toxic"].to_numpy().astype(float)
+    data = rows["features"].to_pylist()
+    del rows
+    ends = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data])])
+    feature = np.frombuffer(b"".join(data), "<u2")
+    del data
+    w, bias = logistic(ends, feature, ratio, y)
     return Model(kept, w * ratio, bias)
 
 
