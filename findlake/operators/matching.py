@@ -47,18 +47,23 @@ def cluster_sites(findings: DataFrame, keys: list[str], line: str = "line", dete
     return placed.groupBy(*keys, "anchor").agg(F.sort_array(F.collect_set(detector)).alias("detectors"), F.count(F.lit(1)).alias("members"))
 
 
-def within(points: DataFrame, spans: DataFrame, keys: list[str], tolerance: int = 0) -> Column:
-    """Join condition: same keys and the point's line in the span's lines, give or take the tolerance."""
-    on = F.lit(True)
+def inside(points: DataFrame, spans: DataFrame, keys: list[str], tolerance: int = 0, how: str = "inner") -> DataFrame:
+    """points (keys, line) joined with spans (keys, start_line, end_line) whose lines hold them, give or take the tolerance.
+
+    With how "right", spans without a point stay. One equi join on the keys; the lines are a condition on its rows.
+    """
+    s = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(c) for c in spans.columns if c not in keys])
+    on = (F.col("line") >= F.col("start_line") - tolerance) & (F.col("line") <= F.col("end_line") + tolerance)
     for k in keys:
-        on &= points[k] == spans[k]
-    return on & (points["line"] >= spans["start_line"] - tolerance) & (points["line"] <= spans["end_line"] + tolerance)
+        on &= F.col(k) == F.col(f"__{k}")
+    return points.join(s, on, how)
 
 
 def innermost(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Each point's shortest enclosing span: keys, line, name (null without one)."""
-    found = points.join(spans, within(points, spans, keys)).groupBy(*[points[k] for k in keys], points["line"]).agg(F.min_by(spans["name"], F.struct(spans["end_line"] - spans["start_line"], spans["start_line"], spans["name"])).alias("name"))
-    return points.join(found, [*keys, "line"], "left")
+    at = [*keys, "line"]
+    size = F.struct(F.col("end_line") - F.col("start_line"), F.col("start_line"), F.col("name"))
+    return inside(points, spans, keys, how="left").groupBy(*at).agg(F.min_by("name", F.when(F.col("name").isNotNull(), size)).alias("name"))
 
 
 def merge_plan_over_source(resources: DataFrame) -> DataFrame:
@@ -75,9 +80,9 @@ def merge_plan_over_source(resources: DataFrame) -> DataFrame:
 def fold_siblings(resources: DataFrame) -> DataFrame:
     """Parents with the properties that sibling resources (which refer to them) carry. resources: address, native, properties (map), refers."""
     children = resources.where("refers is not null").select(F.col("refers").alias("__parent"), F.col("native").alias("__native"), F.struct("address", "properties").alias("__own"))
-    given = children.groupBy("__parent").agg(F.sort_array(F.collect_list("__own")).alias("__own"))
+    given = children.groupBy("__parent").agg(F.array_sort(F.collect_list("__own"), lambda x, y: F.when(x["address"] < y["address"], -1).otherwise(1)).alias("__own"))
     merged = F.aggregate("__own", F.col("properties"), lambda a, c: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(c["properties"], k)), c["properties"]))
-    joined = resources.join(given, resources.address == given.__getattr__("__parent"), "left")
+    joined = resources.join(given, F.col("address") == F.col("__parent"), "left")
     return joined.withColumn("properties", F.when(F.col("__own").isNull(), F.col("properties")).otherwise(merged)).drop("__own", "__parent")
 
 
@@ -146,13 +151,16 @@ def compare(a: DataFrame, b: DataFrame, tolerance: int = 2, threshold: float = 0
     order of seq, so a group is never more than one file's findings.
     """
     nth = Window.partitionBy("id").orderBy("seq")
-    x, y = a.withColumn("k", F.row_number().over(nth)), b.withColumn("k", F.row_number().over(nth))
-    same = x.select("id", "k", F.col("seq").alias("a")).join(y.select("id", "k", F.col("seq").alias("b")), ["id", "k"])
     columns = ["seq", "repo_id", "path", "start_line", "title", "rule_id"]
-    rest_a = x.join(y.select("id", "k"), ["id", "k"], "left_anti").select(columns)
-    rest_b = y.join(x.select("id", "k"), ["id", "k"], "left_anti").select(columns)
+    x = a.select("id", *columns).withColumn("k", F.row_number().over(nth))
+    y = b.select("id", *columns).withColumn("k", F.row_number().over(nth))
+    y = y.select(*[F.col(c).alias(f"b_{c}") for c in y.columns])
+    both = x.join(y, (F.col("id") == F.col("b_id")) & (F.col("k") == F.col("b_k")), "full_outer")
+    same = both.where("id is not null and b_id is not null").select(F.col("seq").alias("a"), F.col("b_seq").alias("b"), F.lit("fingerprint").alias("how"))
+    rest_a = both.where("b_id is null").select(*[F.col(c).alias(c) for c in columns])
+    rest_b = both.where("id is null").select(*[F.col(f"b_{c}").alias(c) for c in columns])
     rest = rest_a.groupBy("repo_id", "path").cogroup(rest_b.groupBy("repo_id", "path")).applyInPandas(_file_pairs(tolerance, threshold), "a long, b long, how string")
-    return same.select("a", "b", F.lit("fingerprint").alias("how")).unionByName(rest)
+    return same.unionByName(rest)
 
 
 def _consume(items: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
