@@ -1,3 +1,3 @@
 """Registered queries of the library's own operators."""
 
-from findlake.queries import identity, matching  # noqa: F401
+from findlake.queries import identity, matching, measure  # noqa: F401
