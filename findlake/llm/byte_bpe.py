@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findlake.llm.common import slices
+from findlake.llm.common import map_arrow
 
 #: Pieces a worker keeps; when full it starts anew, which costs time and changes nothing else.
 KEPT_PIECES = 400_000
@@ -261,7 +261,7 @@ def _mapped(df: DataFrame, column: str, name: str, kind: T.DataType, arrow: Call
                 rest = [n for n in part.schema.names if n != name]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in rest), arrow(part.column(part.schema.get_field_index(column)))], [*rest, name])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

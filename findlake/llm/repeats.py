@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.common import id_and_text, written
+from findlake.llm.common import id_and_text, map_arrow, written
 
 LENGTH = 400
 GRAM = 32
@@ -214,7 +214,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                     columns = [pa.array([x for d in doc for x in d], pa.int64()), pa.array([x for d in th for x in d], pa.int64()), *(pa.array(np.concatenate(c), t) for c, t in zip(rest, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    found = written(texts.mapInArrow(find, "doc_id long, th long, anchor long, window long, start int, strings int"), "anchors")
+    found = written(map_arrow(texts, find, "doc_id long, th long, anchor long, window long, start int, strings int"), "anchors")
     classes = found.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start", "strings")).alias("rep"))
     shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where(F.col("all") > 1).select("anchor", "m")
     live = written(classes.join(shared, "anchor").select("anchor", "window", "n", "m", "rep.*"), "anchor-windows")
@@ -236,7 +236,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     # the windows of anchors that have different ones, cut once for both ways
     places = live.where("m > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "strings", "anchor", "n", "m")).alias("places"))
     holding = distinct_texts.withColumn("key", F.struct("doc_id", "th")).join(places.select(F.struct("doc_id", "th").alias("key"), "places"), "key")
-    windows = written(holding.select("key.doc_id", "key.th", "text", "places").mapInArrow(cut, WINDOWS), "windows")
+    windows = written(map_arrow(holding.select("key.doc_id", "key.th", "text", "places"), cut, WINDOWS), "windows")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[tuple] = []
@@ -256,7 +256,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         if open_:
             yield close()
 
-    few = windows.where(F.col("m") <= many).drop("m").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, MARKS)
+    few = map_arrow(windows.where(F.col("m") <= many).drop("m").repartition("anchor").sortWithinPartitions("anchor"), index, MARKS)
     marks = whole.unionByName(few)
     hot = windows.where(F.col("m") > many).drop("m")
     if n_hot := hot.count():
@@ -284,7 +284,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(covered, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     rows = distinct_texts.withColumn("key", F.struct("doc_id", "th")).join(spans, "key", "left").select("key.doc_id", "text", "marks")
-    return rows.mapInArrow(keep, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return map_arrow(rows, keep, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def _by_hash(windows: DataFrame, n: int, length: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findlake.llm.byte_bpe import split_at_words
-from findlake.llm.common import id_and_text, new_path
+from findlake.llm.common import id_and_text, map_arrow, new_path
 
 BLOCK = 65_536
 #: Ids after which a shard ends with the document at hand.
@@ -202,7 +202,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0
         if names:
             yield close()
 
-    rows.mapInArrow(shard, SHARDS).write.mode("overwrite").parquet(out)
+    map_arrow(rows, shard, SHARDS).write.mode("overwrite").parquet(out)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -216,7 +216,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("part", "shard") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
     shards = spark.read.schema(SHARDS).parquet(path).select("part", "shard", "payload")
-    return shards.mapInArrow(documents, "doc_id long, part int, shard int, offset long, n_tokens long, ids_crc32 long")
+    return map_arrow(shards, documents, "doc_id long, part int, shard int, offset long, n_tokens long, ids_crc32 long")
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.common import id_and_text, slices
+from findlake.llm.common import id_and_text, map_arrow, slices
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -25,7 +25,7 @@ SAMPLE_ROWS = 20_000
 #: Buckets with a weight, numbered in 16 bits.
 FEATURES = 1 << 14
 #: Characters that are turned into features at once.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     sample = _labelled(id_and_text(docs), labels, sample_rows)
     # few rows, so few tasks: each sends counts of all buckets
     sample = sample.repartition(8)
-    counted = sample.mapInArrow(_counts, "piece int, clean binary, toxic binary, n_clean long, n_toxic long")
+    counted = map_arrow(sample, _counts, "piece int, clean binary, toxic binary, n_clean long, n_toxic long")
     sums = counted.groupBy("piece").applyInArrow(_sum, "piece int, clean binary, toxic binary").toArrow()
     seen = np.zeros((2, 256, (1 << BITS) // 256), np.int64)
     for k, a, b in zip(*(sums[c].to_pylist() for c in ("piece", "clean", "toxic")), strict=True):
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
                 feature = number[bucket].astype("<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([feature[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), part.column(1)], ["features", "toxic"])
 
-    rows = sample.mapInArrow(chosen, "features binary, toxic int").toArrow()
+    rows = map_arrow(sample, chosen, "features binary, toxic int").toArrow()
     y = rows["toxic"].to_numpy().astype(float)
     data = rows["features"].to_pylist()
     del rows
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = model.scores(part.column(1).to_pylist(), table)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
@@ -227,4 +227,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
                 s = model.scores([t or "" for t in part.column(at).to_pylist()], table)
                 yield part.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
