@@ -10,7 +10,6 @@ one array, a merge each at a time; the worker keeps what it has encoded, because
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -221,20 +220,19 @@ def _slot(key: np.ndarray, shift: int) -> np.ndarray:
     return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(shift)).astype(np.int64)
 
 
-#: White space that stands beside white space or at an end: there a match may hold several characters of it.
-BESIDE = re.compile(r"\s(?=\s|\Z)|\A\s|[^\S \n]|\0")
-
-
 def split_at_words(text: str) -> list[str]:
     """Cuts text into chunks that the pattern matches the same way by themselves.
 
     The pattern always ends a match before a space that a non-space follows: a run of white space leaves its last space
     to the word after it, and no other kind of match goes on over white space. A line end between non-spaces is a match
-    of its own. So chunks are words, each with the space before it, and line ends; where white space stands beside white
-    space, only the first kind of cut is made.
+    of its own. So chunks are words, each with the space before it, and line ends; where there is other white space, or
+    white space stands beside white space or at an end, only the first kind of cut is made.
     """
-    if not BESIDE.search(text):
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
+    words = text.split()
+    gaps = len(words) - 1
+    # as many spaces and line ends as gaps, and no other character outside words
+    if gaps == text.count(" ") + text.count("\n") and len(text) - gaps == sum(map(len, words)) and "\0" not in text:
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     parts = text.split(" ")
     out = [parts[0]] if parts[0] else []
     for p in parts[1:]:

@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,10 +115,13 @@ class Shard:
 class LibraryTokenizer:
     """The tokenizers library over chunks that end where its pre-tokenizer ends a match; what repeats is encoded once.
 
-    The chunks that are new go to the library as one text, for a call costs more than a word; the tokens' lengths in
-    bytes say where each chunk's ids end.
+    The chunks that are new go to the library as the lines of one text, for a call costs more than a word. A line end
+    before a chunk is a match by itself, so its token says where each chunk's ids end. A mark after a letter is a match
+    by itself, too; a chunk that ends so is its stem's ids and the mark's.
     """
 
+    MARKS = frozenset(".,;:!?")
+
     def __init__(self, path: str):
         import os
 
@@ -126,39 +130,53 @@ class LibraryTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        size = self.inner.get_vocab_size()
-        # a character of a byte-level vocabulary stands for one byte
-        self.sizes = np.array([len(self.inner.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.line_end = self.inner.encode("\n", add_special_tokens=False).ids
+        self.marks = {c: self._alone(c) for c in self.MARKS}
         self.kept: dict[str, bytes] = {}
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that begin with a non-space or with one space and a non-space."""
-        apart = np.array([c[0] != " " for c in chunks], np.int64)  # these get a line end before them, which is one token
-        (found,) = self.inner.encode_batch_fast(["".join([c if c[0] == " " else "\n" + c for c in chunks])], add_special_tokens=False)
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _lines(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that hold no line end and begin with a non-space or with one space and a non-space."""
+        (found,) = self.inner.encode_batch_fast(["\n".join(chunks)], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode()) for c in chunks] + apart)) + 1
-        starts = np.concatenate([[0], ends[:-1]]) + apart
+        ends = np.append(4 * np.flatnonzero(ids == self.line_end[0]), 4 * len(ids)).tolist()
         flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+        return [flat[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        kept, plain, stems = self.kept, [], []
+        for c in new:
+            if c[-1] in self.MARKS and len(c) > 2 and c[-2].isalpha() and "\n" not in c and not c[1].isspace() and (c[0] == " " or not c[0].isspace()):
+                stems.append(c)
+            elif "\n" in c or c[0].isspace() and (c[0] != " " or not c[1:] or c[1].isspace()) or len(self.line_end) != 1:
+                kept[c] = self._alone(c)
+            else:
+                plain.append(c)
+        plain += {c[:-1] for c in stems}.difference(kept, plain)
+        for at in range(0, len(plain), 8_192):
+            part = plain[at : at + 8_192]
+            kept.update(zip(part, self._lines(part), strict=True))
+        kept.update([(c, kept[c[:-1]] + self.marks[c[-1]]) for c in stems])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [split_at_words(t) for t in texts]
-        kept = self.kept
-        new = set().union(*split).difference(kept)
-        if len(kept) + len(new) > KEPT_PIECES:
-            kept.clear()
-            new = set().union(*split)
-        rest = [c for c in new if not c[0].isspace() or c[0] == " " and c[1:] and not c[1].isspace()]
-        for at in range(0, len(rest), 4_096):
-            part = rest[at : at + 4_096]
-            kept.update(zip(part, self._encode(part), strict=True))
-        for c in new.difference(rest):  # white space first: the library sees it alone
-            kept[c] = np.array(self.inner.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), "<u4") for chunks in split]
+        chunks = list(chain.from_iterable(split))
+        found = list(map(self.kept.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.kept) + len(missing) > KEPT_PIECES:
+            self.kept.clear()
+            missing = range(len(chunks))
+        new = {chunks[i] for i in missing}
+        self._learn(new)
+        for i in missing:
+            found[i] = self.kept[chunks[i]]
         for c in new:
             if len(c) > KEPT_LENGTH:
-                del kept[c]
-        return out
+                del self.kept[c]
+        ends = np.cumsum([len(s) for s in split]).tolist()
+        return [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 @lru_cache(maxsize=2)
