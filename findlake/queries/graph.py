@@ -147,7 +147,7 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streams.stream(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return streams.run(streams.limit_rate(rows, "user_id", 3, 3600))
+    return streams.run(streams.limit_rate(rows, "user_id", 2, 864_000))
 
 
 @query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
