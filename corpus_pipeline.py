@@ -28,9 +28,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each row that the mix took."""
-    path = public_tokenizers.path(RANKS)
-    ids = byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    coded = byte_bpe.decode(ids, path, public_tokenizers.PATTERN)
+    coded = byte_bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return byte_bpe.digest(coded, "ids")
 
 

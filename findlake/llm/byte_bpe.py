@@ -27,6 +27,7 @@ from findlake.llm.common import map_arrow
 KEPT_PIECES = 400_000
 #: Pieces longer than this are encoded by themselves and not kept.
 KEPT_LENGTH = 64
+MARKS = frozenset(".,;:!?")
 #: Rows of one array of trees.
 ROWS = 20_000
 DEAD = 1 << 62
@@ -176,38 +177,61 @@ class ByteBPE:
         ends = 4 * np.cumsum((ids.reshape(m, wide) >= 0).sum(axis=1))
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def pieces(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of each of some distinct matches of the pattern."""
-        out, sizes = {}, {}
-        for p in new:
-            data = p.encode()
-            if (whole := self.ranks.get(data)) is not None:
-                out[p] = whole.to_bytes(4, "little")
-            elif 2 <= len(data) <= KEPT_LENGTH:
-                sizes.setdefault(1 << max(0, len(data) - 2).bit_length(), []).append((p, data))
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of each of some matches of the pattern."""
+        data = [p.encode() for p in new]
+        found = list(map(self.ranks.get, data))
+        out = [None if r is None else r.to_bytes(4, "little") for r in found]
+        rest = [i for i, r in enumerate(found) if r is None]
+        sizes = np.array([len(data[i]) for i in rest], np.int64)
+        size = 1
+        while size < KEPT_LENGTH:  # trees of one size side by side
+            fits = np.flatnonzero((sizes > size // 2 + 1) & (sizes <= size + 1) if size > 1 else sizes == 2)
+            for at in range(0, len(fits), ROWS):
+                part = [rest[i] for i in fits[at : at + ROWS].tolist()]
+                for i, ids in zip(part, self.side_by_side([data[i] for i in part], size), strict=True):
+                    out[i] = ids
+            size *= 2
+        return [array("i", self.piece(d)).tobytes() if ids is None else ids for ids, d in zip(out, data, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Keeps the ids of new chunks. A chunk of letters is one match, one of letters and a mark is two; others are matched out."""
+        kept, plain, stems, odd = self.kept, [], [], []
+        for c in new:
+            word = c[1:] if c[0] == " " else c
+            if word.isalpha():
+                plain.append(c)
+            elif word[-1:] in MARKS and word[:-1].isalpha():
+                stems.append(c)
             else:
-                out[p] = array("i", self.piece(data)).tobytes()
-        for size, some in sizes.items():
-            for at in range(0, len(some), ROWS):
-                part = some[at : at + ROWS]
-                out.update(zip([p for p, _ in part], self.side_by_side([d for _, d in part], size), strict=True))
-        return out
+                odd.append(c)
+        matched = [self.findall(c) for c in odd]
+        more = {c[:-1] for c in stems}.union(*matched, MARKS if stems else ()).difference(kept, plain)
+        plain += more
+        kept.update(zip(plain, self.pieces(plain), strict=True))
+        kept.update([(c, kept[c[:-1]] + kept[c[-1]]) for c in stems])
+        kept.update([(c, b"".join([kept[m] for m in ms])) for c, ms in zip(odd, matched, strict=True)])
+        for c in more:
+            if len(c) > KEPT_LENGTH:
+                kept.pop(c, None)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [split_at_words(t) for t in texts]
-        kept = self.kept
-        new = set().union(*split).difference(kept)
-        if len(kept) + len(new) > KEPT_PIECES:
-            kept.clear()
-            new = set().union(*split)
-        found = [self.findall(c) for c in new]
-        ids = self.pieces(list(set(chain.from_iterable(found)).difference(kept)))
-        kept.update((c, b"".join([ids[p] if p in ids else kept[p] for p in matched])) for c, matched in zip(new, found, strict=True))
-        kept.update(ids)  # a match is a chunk as well, whatever it stood beside
-        out = [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.int32) for chunks in split]
-        for c in [c for c in chain(new, ids) if len(c) > KEPT_LENGTH]:
-            kept.pop(c, None)
-        return out
+        chunks = list(chain.from_iterable(split))
+        found = list(map(self.kept.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.kept) + len(missing) > KEPT_PIECES:
+            self.kept.clear()
+            missing = range(len(chunks))
+        new = {chunks[i] for i in missing}
+        self._learn(new)
+        for i in missing:
+            found[i] = self.kept[chunks[i]]
+        for c in new:
+            if len(c) > KEPT_LENGTH:
+                self.kept.pop(c, None)
+        ends = np.cumsum([len(s) for s in split]).tolist()
+        return [np.frombuffer(b"".join(found[a:b]), np.int32) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
@@ -248,43 +272,56 @@ def _codec(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def _mapped(df: DataFrame, column: str, name: str, kind: T.DataType, arrow: Callable, step: int) -> DataFrame:
-    """df with one more column, computed batch by batch from one of its columns."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+def _ids(codec: ByteBPE, texts: pa.Array) -> pa.Array:
+    rows = codec.encode_batch([t or "" for t in texts.to_pylist()])
+    ends = np.zeros(len(rows) + 1, np.int32)
+    ends[1:] = np.cumsum([len(r) for r in rows])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+
+
+def _bytes(codec: ByteBPE, ids: pa.Array) -> pa.Array:
+    ids = ids.cast(pa.list_(pa.int32())) if ids.type != pa.list_(pa.int32()) else ids
+    flat, ends = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy().tolist()
+    return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+
+
+def _mapped(df: DataFrame, drop: set[str], new: list[tuple[str, T.DataType]], arrow: Callable[[pa.RecordBatch], list[pa.Array]], step: int = 500) -> DataFrame:
+    """df without some columns and with new ones, computed from a few hundred rows at a time."""
+    names = [n for n, _ in new]
+    kept = [f for f in df.schema.fields if f.name not in drop and f.name not in names]
+    schema = T.StructType([*kept, *(T.StructField(n, kind) for n, kind in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                rest = [n for n in part.schema.names if n != name]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in rest), arrow(part.column(part.schema.get_field_index(column)))], [*rest, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), *arrow(part)], [*(f.name for f in kept), *names])
 
     return map_arrow(df, run, schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with an array of token ids of each whole text. Null and empty texts have no ids; a column named like ids_col is replaced."""
+IDS = T.ArrayType(T.IntegerType())
 
-    def ids(texts: pa.Array) -> pa.Array:
-        codec = _codec(path, pattern)
-        rows = codec.encode_batch([t or "" for t in texts.to_pylist()])
-        ends = np.zeros(len(rows) + 1, np.int32)
-        ends[1:] = np.cumsum([len(r) for r in rows])
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
 
-    return _mapped(df, text_col, ids_col, T.ArrayType(T.IntegerType()), ids, 500)
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """df with an array of token ids of each whole text. Null and empty texts have no ids; a column named like ids_col is replaced."""
+    return _mapped(df, set(), [(ids_col, IDS)], lambda part: [_ids(_codec(path, pattern), part.column(part.schema.get_field_index(text_col)))])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """df with the bytes of each row's ids; no ids (or null) give no bytes. An unknown id is an error."""
+    return _mapped(df, set(), [(bytes_col, T.BinaryType())], lambda part: [_bytes(_codec(path, pattern), part.column(part.schema.get_field_index(ids_col)))])
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """df without its text, with ids and decoded: encode and decode in one worker, which holds one codec."""
 
-    def texts(ids: pa.Array) -> pa.Array:
+    def both(part: pa.RecordBatch) -> list[pa.Array]:
         codec = _codec(path, pattern)
-        ids = ids.cast(pa.list_(pa.int32())) if ids.type != pa.list_(pa.int32()) else ids
-        flat, ends = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy().tolist()
-        return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        ids = _ids(codec, part.column(part.schema.get_field_index(text_col)))
+        return [ids, _bytes(codec, ids)]
 
-    return _mapped(df, ids_col, bytes_col, T.BinaryType(), texts, 500)
+    return _mapped(df, {text_col}, [("ids", IDS), ("decoded", T.BinaryType())], both)
 
 
 def digest(df: DataFrame, *more: str) -> DataFrame:

@@ -44,9 +44,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    ids = byte_bpe.encode(id_and_text(table(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.digest(byte_bpe.decode(ids, path, public_tokenizers.PATTERN))
+    docs = id_and_text(table(spark, sf_dir, "documents"))
+    return byte_bpe.digest(byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
