@@ -188,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th, fp, component_id (least doc_id reachable over links, itself included), one row per input row.
+    """doc_id, th, fp, component_id (least doc_id reachable over links, itself included) and root (least fp reachable), a row per row.
 
     Texts lower-case A-Z and split at ASCII white space; texts of fewer words than a shingle are one shingle, texts
     without words (null ones too) have fingerprint zero and link like any other. Equal fingerprints link at once.
@@ -199,12 +199,12 @@ def simhash_components(docs: DataFrame, radius: int = 2, words: int = 3, id_col:
     roots = components(links(rows.select("fp").distinct(), radius))
     placed = heads.join(roots, heads.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("head").alias("component_id"))
-    of = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", "th", "fp", "component_id")
+    of = placed.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(of, "fp").select("doc_id", "th", "fp", "component_id", "root")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the least id of their component, with all their columns."""
+    """The rows of docs with the least id of their component, with all their columns; a component without ids keeps one row."""
     found = simhash_components(docs, radius, words, id_col, text_col)
-    first = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("th").alias("th"))
-    return keep_rows(docs, first.select(F.col("component_id").alias("doc_id"), "th"), id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"))
+    return keep_rows(docs, first.select("first.doc_id", "first.th"), id_col, text_col)
