@@ -1,3 +1,3 @@
 """Registered queries of the library's own operators."""
 
-from findlake.queries import graph, identity, matching, measure, supply  # noqa: F401
+from findlake.queries import graph, identity, matching, measure, rules, supply  # noqa: F401
