@@ -76,12 +76,14 @@ def deduplicate(findings: DataFrame, order: str = "seq") -> DataFrame:
     once = findings.withColumn("arrival", F.min(order).over(first_seen)).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     title = F.substring(alphanumeric(F.col("title")), 1, 48)
     placed = (F.col("path") != "") & (F.col("start_line") > 0)
-    site = Window.partitionBy("repo_id", "path", "start_line", title, F.when(placed, "").otherwise(F.col("id")))
-    once = once.withColumn("site_probe", F.first("probe").over(site.orderBy("arrival"))).withColumn("others", F.collect_set("probe").over(site))
-    keep = (F.row_number().over(site.orderBy("arrival")) == 1) | (F.col("probe") == F.col("site_probe"))
-    first = F.row_number().over(site.orderBy("arrival")) == 1
-    also = F.when(first, F.array_sort(F.transform(F.array_except("others", F.array("site_probe")), lambda p: F.concat(F.lit("also:"), p)))).otherwise(F.array().cast("array<string>"))
-    return once.withColumn("keep", keep).withColumn("tags", also).where("keep").drop("keep", "others", "site_probe", "arrival")
+    # the key is made of columns first, so that one shuffle serves every window over it
+    once = once.withColumn("title_key", title).withColumn("alone", F.when(placed, "").otherwise(F.col("id")))
+    site = Window.partitionBy("repo_id", "path", "start_line", "title_key", "alone")
+    turn = F.row_number().over(site.orderBy("arrival"))
+    once = once.withColumns({"turn": turn, "site_probe": F.first("probe").over(site.orderBy("arrival")), "others": F.collect_set("probe").over(site)})
+    also = F.when(F.col("turn") == 1, F.array_sort(F.transform(F.array_except("others", F.array("site_probe")), lambda p: F.concat(F.lit("also:"), p)))).otherwise(F.array().cast("array<string>"))
+    kept = once.where((F.col("turn") == 1) | (F.col("probe") == F.col("site_probe")))
+    return kept.withColumn("tags", also).drop("turn", "others", "site_probe", "arrival", "title_key", "alone")
 
 
 def baseline_status(findings: DataFrame, known: DataFrame, legacy: bool = False) -> DataFrame:
