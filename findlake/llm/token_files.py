@@ -32,7 +32,7 @@ from findlake.llm.common import id_and_text, map_arrow, new_path
 BLOCK = 65_536
 #: Ids after which a shard ends with the document at hand.
 SHARD_IDS = 2_000_000
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 KEPT_LENGTH = 64
 SHARDS = "part int, shard int, n_ids long, n_docs long, first_doc long, payload binary"
 
@@ -112,12 +112,23 @@ class Shard:
             yield doc, start, have[: end - start]
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The character of a byte-level vocabulary for each byte but the line end: printable ones stand for themselves, the others follow 255 in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest) if b != 10}
+
+
+BYTES = _byte_alphabet()
+
+
 class LibraryTokenizer:
     """The tokenizers library over chunks that end where its pre-tokenizer ends a match; what repeats is encoded once.
 
     The chunks that are new go to the library as the lines of one text, for a call costs more than a word. A line end
     before a chunk is a match by itself, so its token says where each chunk's ids end. A mark after a letter is a match
-    by itself, too; a chunk that ends so is its stem's ids and the mark's.
+    by itself, too; a chunk that ends so is its stem's ids and the mark's. Chunks of letters alone are one match, so the
+    library need not match them: a second instance with the same model splits at white space instead.
     """
 
     MARKS = frozenset(".,;:!?")
@@ -126,10 +137,13 @@ class LibraryTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.line_end = self.inner.encode("\n", add_special_tokens=False).ids
         self.marks = {c: self._alone(c) for c in self.MARKS}
         self.kept: dict[str, bytes] = {}
@@ -137,16 +151,22 @@ class LibraryTokenizer:
     def _alone(self, text: str) -> bytes:
         return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _lines(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that hold no line end and begin with a non-space or with one space and a non-space."""
-        (found,) = self.inner.encode_batch_fast(["\n".join(chunks)], add_special_tokens=False)
+    def _words(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks of letters, with a space before them or not."""
+        text = "\n".join(chunks)
+        text = text.replace(" ", BYTES[32]) if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
+        return self._lines(text.replace("\n", f"\n{chr(266)}\n"), self.plain)
+
+    def _lines(self, text: str, tokenizer) -> list[bytes]:
+        """Ids of each line; line ends are tokens."""
+        (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         ends = np.append(4 * np.flatnonzero(ids == self.line_end[0]), 4 * len(ids)).tolist()
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
     def _learn(self, new: set[str]) -> None:
-        kept, plain, stems = self.kept, [], []
+        kept, plain, stems, letters = self.kept, [], [], []
         for c in new:
             if c[-1] in self.MARKS and len(c) > 2 and c[-2].isalpha() and "\n" not in c and not c[1].isspace() and (c[0] == " " or not c[0].isspace()):
                 stems.append(c)
@@ -155,9 +175,16 @@ class LibraryTokenizer:
             else:
                 plain.append(c)
         plain += {c[:-1] for c in stems}.difference(kept, plain)
+        for c in plain:
+            if (c[1:] if c[0] == " " else c).isalpha():
+                letters.append(c)
+        plain = list(set(plain).difference(letters))
+        for at in range(0, len(letters), 8_192):
+            part = letters[at : at + 8_192]
+            kept.update(zip(part, self._words(part), strict=True))
         for at in range(0, len(plain), 8_192):
             part = plain[at : at + 8_192]
-            kept.update(zip(part, self._lines(part), strict=True))
+            kept.update(zip(part, self._lines("\n".join(part), self.inner), strict=True))
         kept.update([(c, kept[c[:-1]] + self.marks[c[-1]]) for c in stems])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
