@@ -55,8 +55,9 @@ def snake_case(name: Column) -> Column:
 
 
 def masked(value: Column) -> Column:
-    """First and last characters of a long value, stars for a short one."""
-    return F.when(F.length(value) <= 8, "****").otherwise(F.concat(F.substring(value, 1, 4), F.lit("..."), F.right(value, F.lit(2))))
+    """The first and last four characters, stars between; all stars for a short value."""
+    n = F.length(value)
+    return F.when(n <= 8, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.substring(value, 1, 4), F.repeat(F.lit("*"), n - 8), F.right(value, F.lit(4))))
 
 
 def line_of(text: Column, offset: Column) -> Column:

@@ -185,7 +185,7 @@ def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH hit AS (SELECT doc_id, regexp_extract(text, 'token = "([0-9a-f]+)"', 1) AS value FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]+"')),
 c AS (SELECT doc_id, value, unnest(string_split(value, '')) AS ch FROM hit), n AS (SELECT doc_id, value, ch, count(*) AS k FROM c GROUP BY ALL)
-SELECT doc_id, round(-sum(k / length(value) * log2(k / length(value))), 6) AS entropy, substr(any_value(value), 1, 4) || '...' || right(any_value(value), 2) AS masked FROM n GROUP BY doc_id""")
+SELECT doc_id, round(-sum(k / length(value) * log2(k / length(value))), 6) AS entropy, substr(any_value(value), 1, 4) || repeat('*', length(any_value(value)) - 8) || right(any_value(value), 4) AS masked FROM n GROUP BY doc_id""")
 def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.functions.text import masked
 

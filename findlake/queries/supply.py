@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions import supply
 from findlake.functions.text import line_of, posix, slug
+from findlake.operators import secrets
 from findlake.plans.registry import query
 from findlake.queries.base import FILES_SQL, FINDINGS_SQL, RUN_SQL, files, findings, relation, table, values, with_status
 from findlake.queries.identity import OUTCOMES
@@ -157,3 +158,24 @@ def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = Window.partitionBy()
     more = F.round(F.sum("n").over(every) * 0.3) - F.sum("base").over(every)
     return g.select("language", "n", (F.col("base") + (F.row_number().over(Window.orderBy(F.desc("rest"), "language")) <= more).cast("int")).alias("held"))
+
+
+#: Values in provider shapes, put together here so that no token stands in the file.
+_TOKENS = ["AKIA" + "ABCDEFGH" * 2, "ghp_" + "a1" * 18, "xox" + "b-" + "12345678901", "sk_" + "live_" + "a" * 24, "AIza" + "B" * 35, "glpat-" + "c" * 20, "npm_" + "d" * 36, "postgres://u:" + "pw@host"]
+_PLANTED = [("r", "f", "\n".join(f"x = {t}" for t in _TOKENS) + "\nnothing here\n-----BEGIN " + "RSA PRIVATE KEY-----")]
+_ASSIGNED = [("r", "src/a.py", "\n".join(['DB_PASSWORD = "Tr0ub4dor&3xK9z"', "token: 'changeme-please'", 'secret = "secret"', 'api_key = "${API_KEY}"', 'API_KEY_ENV = "MY_KEY_NAME"', 'passwd := "has some spaces in it"', 'client_secret="abcdefgh12"', 'token = "https://x.y/z1"'])), ("r", "tests/b.py", 'password = "admin123"\ntoken = "4f9aB2c8D1e7F6a5B4c3D2e1F0a9B8c7"')]
+
+
+@query("SELECT * FROM (VALUES ('aws-access-key', 'critical', 1), ('gh-token', 'critical', 2), ('slack-token', 'high', 3), ('stripe-key', 'critical', 4), ('google-api-key', 'critical', 5), ('gitlab-token', 'critical', 6), ('npm-token', 'critical', 7), ('pg-url', 'high', 8), ('private-key', 'critical', 10)) t(rule, severity, line_no)")
+def provider_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.provider_tokens(relation(spark, _PLANTED, "repo_id string, path string, content string")).select("rule", "severity", "line_no")
+
+
+@query("SELECT * FROM (VALUES ('src/a.py', 1, 'DB_PASSWORD', 'medium'), ('src/a.py', 7, 'client_secret', 'medium'), ('tests/b.py', 2, 'token', 'medium')) t(path, line_no, name, severity)")
+def assigned_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.assigned_credentials(relation(spark, _ASSIGNED, "repo_id string, path string, content string")).select("path", "line_no", "name", "severity")
+
+
+@query(f"WITH {FILES_SQL}, l AS (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM files) SELECT DISTINCT path, line_no, 'token' AS name FROM l WHERE regexp_matches(line, 'token = \"[0-9a-f]{{40}}\"')")
+def credentials_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.assigned_credentials(files(spark, sf_dir)).select("path", "line_no", "name").distinct()
