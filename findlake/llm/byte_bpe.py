@@ -28,6 +28,8 @@ KEPT_PIECES = 400_000
 #: Pieces longer than this are encoded by themselves and not kept.
 KEPT_LENGTH = 64
 MARKS = frozenset(".,;:!?")
+#: Letters below this are letters to every version of Unicode; words with others are matched by the pattern.
+PLAIN_LETTERS = "\u0250"
 #: Rows of one array of trees.
 ROWS = 20_000
 DEAD = 1 << 62
@@ -199,9 +201,9 @@ class ByteBPE:
         kept, plain, stems, odd = self.kept, [], [], []
         for c in new:
             word = c[1:] if c[0] == " " else c
-            if word.isalpha():
+            if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):
                 plain.append(c)
-            elif word[-1:] in MARKS and word[:-1].isalpha():
+            elif word[-1:] in MARKS and (stem := word[:-1]).isalpha() and (stem.isascii() or max(stem) < PLAIN_LETTERS):
                 stems.append(c)
             else:
                 odd.append(c)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findlake.llm.byte_bpe import split_at_words
+from findlake.llm.byte_bpe import MARKS, PLAIN_LETTERS, split_at_words
 from findlake.llm.common import id_and_text, map_arrow, new_path
 
 BLOCK = 65_536
@@ -55,7 +55,7 @@ def unplanes(parts: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(rows).view("<u4").reshape(-1)
 
 
-def pack(ids: np.ndarray, doc_ids: list[int], lengths: list[int], bits: int = 8, block: int = BLOCK, level: int = 3) -> bytes:
+def pack(ids: np.ndarray, doc_ids: list[int], lengths: list[int], bits: int = 8, block: int = BLOCK, level: int = 1) -> bytes:
     """One shard."""
     press = zstandard.ZstdCompressor(level=level)
     body, index = [b"PLN1", struct.pack("<IB", block, bits)], []
@@ -126,13 +126,11 @@ class LibraryTokenizer:
     """The tokenizers library over chunks that end where its pre-tokenizer ends a match; what repeats is encoded once.
 
     The chunks that are new go to the library as the lines of one text, for a call costs more than a word. A line end
-    before a chunk is a match by itself, so its token says where each chunk's ids end. A mark after a letter is a match
-    by itself, too; a chunk that ends so is its stem's ids and the mark's. Chunks of letters alone are one match, so the
-    library need not match them: a second instance with the same model splits at white space instead.
+    before a chunk is a match by itself, so its token can say where each chunk's ids end. So is a mark after a letter; a chunk that ends so is its stem's ids and the mark's. Chunks of letters alone are one match, so the
+    library need not match them: a second instance with the same model splits at white space instead. Everything that is
+    learnt stays for the texts to come, up to a bound.
     """
 
-    MARKS = frozenset(".,;:!?")
-
     def __init__(self, path: str):
         import os
 
@@ -145,46 +143,52 @@ class LibraryTokenizer:
         self.plain.encode_special_tokens = True
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.line_end = self.inner.encode("\n", add_special_tokens=False).ids
-        self.marks = {c: self._alone(c) for c in self.MARKS}
+        self.marks = {c: self._alone(c) for c in MARKS}
+        # a character of the vocabulary stands for one byte
+        self.sizes = np.array([len(self.inner.id_to_token(i) or "") for i in range(self.inner.get_vocab_size())], np.int64)
         self.kept: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _words(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks of letters, with a space before them or not."""
+        """Ids of chunks of letters, with a space before them or not; their bytes say where each chunk's ids end."""
         text = "\n".join(chunks)
-        text = text.replace(" ", BYTES[32]) if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
-        return self._lines(text.replace("\n", f"\n{chr(266)}\n"), self.plain)
+        if text.isascii():
+            lengths, text = list(map(len, chunks)), text.replace(" ", BYTES[32])
+        else:
+            lengths, text = [len(c.encode()) for c in chunks], text.encode().decode("latin-1").translate(BYTES)
+        (found,) = self.plain.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths)) + 4).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _lines(self, text: str, tokenizer) -> list[bytes]:
-        """Ids of each line; line ends are tokens."""
-        (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+    def _lines(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that hold no line end and begin with a non-space or with one space and a non-space; line ends are tokens."""
+        (found,) = self.inner.encode_batch_fast(["\n".join(chunks)], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         ends = np.append(4 * np.flatnonzero(ids == self.line_end[0]), 4 * len(ids)).tolist()
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
     def _learn(self, new: set[str]) -> None:
-        kept, plain, stems, letters = self.kept, [], [], []
+        kept, letters, stems, rest = self.kept, [], [], []
         for c in new:
-            if c[-1] in self.MARKS and len(c) > 2 and c[-2].isalpha() and "\n" not in c and not c[1].isspace() and (c[0] == " " or not c[0].isspace()):
+            word = c[1:] if c[0] == " " else c
+            if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):
+                letters.append(c)
+            elif word[-1:] in MARKS and (stem := word[:-1]).isalpha() and (stem.isascii() or max(stem) < PLAIN_LETTERS):
                 stems.append(c)
-            elif "\n" in c or c[0].isspace() and (c[0] != " " or not c[1:] or c[1].isspace()) or len(self.line_end) != 1:
+            elif "\n" in c or not word or word[0].isspace() or len(self.line_end) != 1:
                 kept[c] = self._alone(c)
             else:
-                plain.append(c)
-        plain += {c[:-1] for c in stems}.difference(kept, plain)
-        for c in plain:
-            if (c[1:] if c[0] == " " else c).isalpha():
-                letters.append(c)
-        plain = list(set(plain).difference(letters))
-        for at in range(0, len(letters), 8_192):
-            part = letters[at : at + 8_192]
-            kept.update(zip(part, self._words(part), strict=True))
-        for at in range(0, len(plain), 8_192):
-            part = plain[at : at + 8_192]
-            kept.update(zip(part, self._lines("\n".join(part), self.inner), strict=True))
+                rest.append(c)
+        letters += {c[:-1] for c in stems}.difference(kept, letters)
+        for some, ids in ((letters, self._words), (rest, self._lines)):
+            for at in range(0, len(some), 8_192):
+                part = some[at : at + 8_192]
+                kept.update(zip(part, ids(part), strict=True))
         kept.update([(c, kept[c[:-1]] + self.marks[c[-1]]) for c in stems])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
