@@ -136,21 +136,26 @@ def adaptive_threshold(row: dict[str, Column], fixed: float, floor: float | None
 
 
 def allocate(sizes: dict, n: int, floor: int = 1) -> dict:
-    """Sample size per stratum: the floor each, the rest by the square root of the stratum's size, largest first."""
-    given = {k: min(floor, v) for k, v in sizes.items()}
-    left = n - sum(given.values())
-    while left > 0 and (room := {k: math.sqrt(v) for k, v in sizes.items() if given[k] < v}):
-        total, used = sum(room.values()), 0
-        for k, w in sorted(room.items(), key=lambda kv: -kv[1]):
-            more = min(sizes[k] - given[k], max(1, int(left * w / total)), left - used)
-            if more <= 0:
-                break
-            given[k] += more
-            used += more
-        if not used:
+    """Sample size per stratum: the floor each, the rest in proportion to the square root of what a stratum has left, no
+    stratum over its size; whole numbers by largest remainder, ties by name."""
+    least = {k: min(floor, v) for k, v in sizes.items()}
+    free = {k: v - least[k] for k, v in sizes.items()}
+    rest = min(max(0, n - sum(least.values())), sum(free.values()))
+    share: dict = {}
+    open_ = {k for k, v in free.items() if v}
+    while open_:
+        unit = (rest - sum(share.values())) / sum(math.sqrt(sizes[k]) for k in open_)
+        full = {k for k in open_ if unit * math.sqrt(sizes[k]) >= free[k]}
+        share |= {k: float(free[k]) for k in full}
+        if not full:
+            share |= {k: unit * math.sqrt(sizes[k]) for k in open_}
             break
-        left -= used
-    return given
+        open_ -= full
+    whole = {k: math.floor(share.get(k, 0.0) + 1e-9) for k in sizes}
+    order = sorted((k for k in sizes if whole[k] < free[k]), key=lambda k: (whole[k] - share.get(k, 0.0), str(k)))
+    for k in order[: round(rest - sum(whole.values()))]:
+        whole[k] += 1
+    return {k: least[k] + whole[k] for k in sizes}
 
 
 def stratified_sample(rows: DataFrame, strata: list[str], key: list[str], n: int, seed: int = 7) -> DataFrame:
@@ -227,30 +232,36 @@ def _log_likelihood(cells: list[tuple[int, ...]], x: np.ndarray, y: np.ndarray,
 
 
 def _profile_interval(history: dict, t: int, some: tuple, total: float, most: float) -> tuple[float, float]:
-    """Totals that the data can't tell from the best at 95%; infinite where nothing under `most` is worse."""
+    """Totals that the data can't tell from the best at 95%; infinite where nothing under `most` is worse.
+
+    The likelihood falls on both sides of its peak, so each end is where it crosses the cut, searched over the unseen
+    part on a logarithmic scale.
+    """
     cells = [tuple(int(b) for b in f"{k:0{t}b}") for k in range(1 << t)]
     x = np.array([[1.0, *c, *(c[i] * c[j] for i, j in some)] for c in cells])
     seen = sum(history.values())
 
-    def at(n: float) -> float:
-        return _log_likelihood(cells, x, np.array([n - seen, *(history.get(c, 0.0) for c in cells[1:])]), n)
-
-    peak = max(total, seen + 1e-6)
-    cut = at(peak) - 3.841459 / 2
-
-    def edge(inside: float, outside: float) -> float:
-        for _ in range(40):
-            middle = (inside + outside) / 2
-            inside, outside = (inside, middle) if at(middle) < cut else (middle, outside)
-        return (inside + outside) / 2
-
-    low = edge(peak, seen + 1e-6) if at(seen + 1e-6) < cut else seen
-    high = peak
-    while at(high) >= cut:
-        high = seen + (high - seen) * 2 + 1
-        if high > most:
-            return low, math.inf
-    return low, edge(peak, high)
+    def falls_short(log_unseen: float) -> float:
+        unseen = math.exp(log_unseen)
+        return _log_likelihood(cells, x, np.array([unseen, *(history.get(c, 0.0) for c in cells[1:])]), seen + unseen) - cut
+
+    cut = 0.0
+    peak = math.log(max(total - seen, 1e-6))
+    cut = falls_short(peak) - 3.841459 / 2
+    ends = []
+    for limit in (math.log(1e-6), math.log(most)):
+        if falls_short(limit) >= 0:
+            ends.append(None)
+            continue
+        good, bad = peak, limit
+        while abs(good - bad) > 1e-10:
+            middle = (good + bad) / 2
+            if falls_short(middle) >= 0:
+                good = middle
+            else:
+                bad = middle
+        ends.append(seen + math.exp(good))
+    return (seen if ends[0] is None else ends[0]), (math.inf if ends[1] is None else ends[1])
 
 
 def loglinear_total(history: dict[tuple[int, ...], float]) -> dict | None:
