@@ -93,7 +93,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('month', o_orderdate) AS month, count(*) AS runs, coalesce(count(*) - lag(count(*)) OVER (ORDER BY date_trunc('month', o_orderdate)), 0)::BIGINT AS change FROM orders GROUP BY 1")
 def history_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("runs"))
+    m = table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.count(F.lit(1)).alias("runs"))
     return m.withColumn("change", F.coalesce(F.col("runs") - F.lag("runs").over(Window.orderBy("month")), F.lit(0)))  # one row a month
 
 
@@ -135,7 +135,7 @@ def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, value FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM e, m WHERE start + INTERVAL 1 HOUR <= mark GROUP BY start, event_type")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.run(streams.window_counts(streams.stream(spark, sf_dir, "events")))
-    return out.select("start", "event_type", "n", F.round("total", 6).alias("total"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
