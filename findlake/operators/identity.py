@@ -18,6 +18,8 @@ SARIF_LEVEL = {"critical": "error", "high": "error", "medium": "warning", "low":
 
 @dataclass(frozen=True)
 class Rule:
+    """What a line must match. A needle is text that every match holds; finding that is cheaper than matching."""
+
     rule_id: str
     pattern: str
     title: str
@@ -25,6 +27,7 @@ class Rule:
     severity: str
     confidence: str
     probe: str
+    needle: str = ""
 
 
 def lookup(column: Column, values: dict, default=None) -> Column:
@@ -51,7 +54,8 @@ def at_least(severity: Column, threshold: str) -> Column:
 def extract(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per (line, rule) that matches. files: repo_id, path, content. One scan; rules are expressions, not a join."""
     lines = files.select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("at", "line"))
-    some = [F.when(F.col("line").rlike(r.pattern), F.struct(*[F.lit(getattr(r, f)).alias(f) for f in ("rule_id", "title", "dimension", "severity", "confidence", "probe")])) for r in rules]
+    hit = lambda r: F.contains("line", F.lit(r.needle)) & F.col("line").rlike(r.pattern) if r.needle else F.col("line").rlike(r.pattern)
+    some = [F.when(hit(r), F.struct(*[F.lit(getattr(r, f)).alias(f) for f in ("rule_id", "title", "dimension", "severity", "confidence", "probe")])) for r in rules]
     hits = lines.select("repo_id", "path", (F.col("at") + 1).alias("start_line"), "line", F.explode(F.filter(F.array(*some), lambda h: h.isNotNull())).alias("rule"))
     return hits.select("rule.*", "repo_id", "path", F.lit("").alias("logical"), "start_line", F.col("line").alias("evidence")).withColumn("base_id", fingerprint())
 

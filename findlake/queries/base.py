@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from findlake.operators.identity import Rule, extract, number_occurrences
 
 RULES = [
-    Rule("secret/assigned-token", 'token = "[0-9a-f]{40}"', "Token assigned in text", "security", "high", "high", "secrets"),
-    Rule("privacy/e-mail", "[a-z0-9.]+@[a-z0-9]+[.]example[.]com", "E-mail address", "compliance", "medium", "medium", "privacy"),
-    Rule("privacy/ipv4", "(^|[^0-9.])[0-9]{1,3}([.][0-9]{1,3}){3}([^0-9.]|$)", "IPv4 address", "compliance", "low", "medium", "privacy"),
+    Rule("secret/assigned-token", 'token = "[0-9a-f]{40}"', "Token assigned in text", "security", "high", "high", "secrets", needle="token = "),
+    Rule("privacy/e-mail", "[a-z0-9.]+@[a-z0-9]+[.]example[.]com", "E-mail address", "compliance", "medium", "medium", "privacy", needle="@"),
+    Rule("privacy/ipv4", "(^|[^0-9.])[0-9]{1,3}([.][0-9]{1,3}){3}([^0-9.]|$)", "IPv4 address", "compliance", "low", "medium", "privacy", needle="."),
     Rule("privacy/digits", "(^|[^0-9a-f])[0-9]{9,}([^0-9a-f]|$)", "Long run of digits", "compliance", "medium", "low", "privacy"),
     Rule("license/marker", "Licen[sc]e|Copyright", "License words", "quality", "info", "high", "licenses"),
-    Rule("quality/shout", "[A-Z]{6,}!!", "Shouted words", "quality", "low", "low", "quality"),
-    Rule("secret/token-word", "token = ", "Token assigned in text", "security", "medium", "medium", "words"),
+    Rule("quality/shout", "[A-Z]{6,}!!", "Shouted words", "quality", "low", "low", "quality", needle="!!"),
+    Rule("secret/token-word", "token = ", "Token assigned in text", "security", "medium", "medium", "words", needle="token = "),
 ]
 
 
