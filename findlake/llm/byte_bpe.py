@@ -213,7 +213,7 @@ class ByteBPE:
         kept.update(zip(plain, self.pieces(plain), strict=True))
         kept.update([(c, kept[c[:-1]] + kept[c[-1]]) for c in stems])
         kept.update([(c, b"".join([kept[m] for m in ms])) for c, ms in zip(odd, matched, strict=True)])
-        for c in more:
+        for c in more.difference(new):  # the caller reads new ones and forgets the long ones
             if len(c) > KEPT_LENGTH:
                 kept.pop(c, None)
 
