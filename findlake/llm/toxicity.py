@@ -23,7 +23,7 @@ BITS = 20
 #: Labelled rows that the classifier is fitted on, the least by hash of their id.
 SAMPLE_ROWS = 20_000
 #: Buckets with a weight, numbered in 16 bits.
-FEATURES = 1 << 14
+FEATURES = 1 << 15
 #: Characters that are turned into features at once.
 STEP_BYTES = 1 << 20
 
