@@ -1,7 +1,7 @@
 """Secret scans: patterns give candidates, a random forest removes the false ones.
 
 Candidates are values assigned to secret-sounding names, values of providers' own shapes, and long strings of
-mixed characters. The forest sees a candidate's length, how likely its character transitions are in words, how much of it
+mixed characters, each of any length. The forest sees a candidate's length, how likely its character transitions are in words, how much of it
 dictionary words cover, its path and the words beside it, and is trained here from labelled findings.
 """
 
@@ -29,9 +29,9 @@ STEP_BYTES = 4 << 20
 #: Code points beside a candidate that count as its neighbourhood.
 NEAR = 48
 
-ASSIGNED = re.compile(r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|client[_-]?key)(?P<rest>[\w.-]{0,40})[\"']?\s{0,4}(?:=>|:=|==?|:)\s{0,4}(?P<q>[\"'`]?)(?P<value>[^\s\"'`<>|,;(){}\[\]]{6,512})", re.I)
-SHAPED = re.compile(r"(?<![A-Za-z0-9])(?:(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})|(?P<github>gh[opsur]_[A-Za-z0-9]{36,255})|(?P<slack>xox[abprs]-[A-Za-z0-9-]{10,250})|(?P<google>AIza[A-Za-z0-9_-]{35})|(?P<stripe>[rs]k_(?:live|test)_[A-Za-z0-9]{16,99})|(?P<jwt>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))(?![A-Za-z0-9])")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,4096}={0,2}(?![A-Za-z0-9+/_=-])")
+ASSIGNED = re.compile(r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|client[_-]?key)(?P<rest>[\w.-]{0,40})[\"']?\s{0,4}(?:=>|:=|==?|:)\s{0,4}(?P<q>[\"'`]?)(?P<value>[^\s\"'`<>|,;(){}\[\]]{6,})", re.I)
+SHAPED = re.compile(r"(?<![A-Za-z0-9])(?:(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})|(?P<github>gh[opsur]_[A-Za-z0-9]{36,})|(?P<slack>xox[abprs]-[A-Za-z0-9-]{10,})|(?P<google>AIza[A-Za-z0-9_-]{35})|(?P<stripe>[rs]k_(?:live|test)_[A-Za-z0-9]{16,})|(?P<jwt>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))(?![A-Za-z0-9])")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assigned", "aws", "github", "slack", "google", "stripe", "jwt", "long")
 FOR = re.compile(r"\b(?:passw(?:or)?d|pwd|secret|token|credentials?|api|auth\w*|bearer|private|access|login|key)\b", re.I)
 AGAINST = re.compile(r"\b(?:example|sample|placeholder|dummy|fake|changeme|test|todo|sha\d*|md5|hash|checksum|digest|commit|revision|integrity|etag|uuid|guid|build|version|fingerprint|your|xxx+)\b", re.I)
@@ -85,10 +85,17 @@ def _words(vocabulary: str) -> Words:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points, in order; of overlapping ones the earlier kind in KINDS stays."""
+    """(start, end, kind) in code points, in order; of overlapping ones the earlier kind in KINDS stays.
+
+    Those that begin at one place are one, with the end of the longest, so that nothing of a value stands after its end.
+    """
     found = [(m.start("value"), m.end("value"), "assigned") for m in ASSIGNED.finditer(text)]
     found += [(m.start(), m.end(), m.lastgroup) for m in SHAPED.finditer(text)]
     found += [(m.start(), m.end(), "long") for m in LONG.finditer(text)]
+    ends: dict[int, int] = {}
+    for a, b, _ in found:
+        ends[a] = max(b, ends.get(a, 0))
+    found = [(a, ends[a], kind) for a, _, kind in found]
     out: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(found, key=lambda c: (KINDS.index(c[2]), c[0])):
         if all(b <= x or y <= a for x, y, _ in out[-200:]) if len(found) <= 200 else True:
