@@ -11,7 +11,7 @@ windows for a block compare the hashes of all their strings, dealt by hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ GRAM = 32
 #: Bytes of windows in one index, and different windows of an anchor from which its strings are dealt by hash.
 BLOCK_BYTES = 1 << 20
 MANY_WINDOWS = 2_000
+#: Symbols of one index stay under this, for three ranks share 63 bits.
+SYMBOLS = 1 << 21
 #: Windows whose strings are hashed together on that way.
 HASHED_WINDOWS = 2_000
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -71,8 +73,10 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array of an integer text with unique separators (all under 65,536), by prefix tripling; under two million symbols."""
+    """Suffix array of an integer text with unique separators (all under 65,536), by prefix tripling; under SYMBOLS symbols."""
     n = len(symbols)
+    if n >= SYMBOLS:
+        raise ValueError(f"{n} symbols in one index, {SYMBOLS - 1} at most")
     s = np.concatenate([symbols.astype(np.uint64), np.zeros(3, np.uint64)])
     key = s[:n] << np.uint64(48) | s[1 : n + 1] << np.uint64(32) | s[2 : n + 2] << np.uint64(16) | s[3 : n + 3]
     order = np.argsort(key)
@@ -154,6 +158,23 @@ def repeated(windows: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     return [long_[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
+def blocks(rows: Iterable[tuple], length: int = LENGTH) -> Iterator[list[tuple]]:
+    """The rows of WINDOWS, sorted by anchor, as lists of whole anchors that stay under SYMBOLS in one index.
+
+    An anchor has at most m windows, each under two lengths, so whether it fits is known before it begins.
+    """
+    open_: list[tuple] = []
+    size = 0
+    for row in rows:
+        if open_ and row[3] != open_[-1][3] and (size + len(row[5]) > BLOCK_BYTES or size + row[6] * (2 * length - GRAM + 1) >= SYMBOLS):
+            yield open_
+            open_, size = [], 0
+        open_.append(row)
+        size += len(row[5]) + 1
+    if open_:
+        yield open_
+
+
 def _spans(marks: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
     """Covered bytes of a text from marked strings, the first of which starts at `start`."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
@@ -239,24 +260,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     windows = written(map_arrow(holding.select("key.doc_id", "key.th", "text", "places"), cut, WINDOWS), "windows")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[tuple] = []
-        size = 0
-
-        def close() -> pa.RecordBatch:
-            marks = repeated([r[5] for r in open_], length) if len(open_) > 1 else []
-            return _marks([(doc, th, a, b) for (doc, th, start, _, n, _), m in zip(open_, marks, strict=False) if n == 1 for a, b in _spans(m, start, length)])
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True))
+        for block in blocks(rows, length):
+            marks = repeated([r[5] for r in block], length) if len(block) > 1 else []
+            yield _marks([(doc, th, a, b) for (doc, th, start, _, n, _, _), m in zip(block, marks, strict=False) if n == 1 for a, b in _spans(m, start, length)])
 
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if open_ and size + len(row[5]) > BLOCK_BYTES and row[3] != open_[-1][3]:
-                    yield close()
-                    open_, size = [], 0
-                open_.append(row)
-                size += len(row[5]) + 1
-        if open_:
-            yield close()
-
-    few = map_arrow(windows.where(F.col("m") <= many).drop("m").repartition("anchor").sortWithinPartitions("anchor"), index, MARKS)
+    few = map_arrow(windows.where(F.col("m") <= many).repartition("anchor").sortWithinPartitions("anchor"), index, MARKS)
     marks = whole.unionByName(few)
     hot = windows.where(F.col("m") > many).drop("m")
     if n_hot := hot.count():
