@@ -128,7 +128,8 @@ class LibraryTokenizer:
     The chunks that are new go to the library as the lines of one text, for a call costs more than a word. A line end
     before a chunk is a match by itself, so its token can say where each chunk's ids end. So is a mark after a letter; a chunk that ends so is its stem's ids and the mark's. Chunks of letters alone are one match, so the
     library need not match them: a second instance with the same model splits at white space instead. Everything that is
-    learnt stays for the texts to come, up to a bound.
+    learnt stays for the texts to come, up to a bound. A text that holds an added token goes to the library whole, which
+    gives that token its own id.
     """
 
     def __init__(self, path: str):
@@ -138,7 +139,7 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        self.added = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -192,7 +193,8 @@ class LibraryTokenizer:
         kept.update([(c, kept[c[:-1]] + self.marks[c[-1]]) for c in stems])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [split_at_words(t) for t in texts]
+        whole = {i: self._alone(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        split = [[] if i in whole else split_at_words(t) for i, t in enumerate(texts)]
         chunks = list(chain.from_iterable(split))
         found = list(map(self.kept.get, chunks))
         missing = [i for i, ids in enumerate(found) if ids is None]
@@ -207,7 +209,7 @@ class LibraryTokenizer:
             if len(c) > KEPT_LENGTH:
                 del self.kept[c]
         ends = np.cumsum([len(s) for s in split]).tolist()
-        return [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return [np.frombuffer(whole[i] if i in whole else b"".join(found[a:b]), "<u4") for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
 
 
 @lru_cache(maxsize=2)
