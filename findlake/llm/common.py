@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,9 +28,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, a local one (tests)."""
+    """The folder that driver and executors share. One of its own only where the session names none and all runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="findlake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -82,6 +85,21 @@ def slices(batches: Iterator[pa.RecordBatch], size_of: str, most: int) -> Iterat
             yield batch.slice(start)
 
 
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, groups: int = 4_096) -> DataFrame:
+    """rows joined to facts (one written row a key; its column `count` is the number of rows of that key), hot keys without a shuffle.
+
+    Keys that hold more than one part in `groups` of all rows are fewer than `groups`, whatever the data, so their facts
+    can go to every task; the other keys meet in a shuffle in which none is larger than that part.
+    """
+    total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    most = max(total // groups, 1_000)
+    hot = facts.where(F.col(count) > most)
+    cold = rows.join(facts.where(F.col(count) <= most), keys)
+    if hot.isEmpty():
+        return cold
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def release() -> None:
     """Gives freed memory back to the system, so that workers that wait hold little."""
     pa.default_memory_pool().release_unused()
@@ -110,11 +128,19 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")]
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it in any spelling."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, whole, that the (doc_id, th) rows of kept name; of rows that repeat both id and text one."""
     doc_id, th = row_key(docs, id_col, text_col)
-    names = kept.select(F.struct(F.col("doc_id"), F.col("th")).alias("__kept"))
-    key = F.struct(doc_id, th)
-    out = docs.join(names, key == F.col("__kept"), "left_semi")
+    own = free_name("kept", docs.columns)
+    names = kept.select(F.struct(F.col("doc_id"), F.col("th")).alias(own))
+    out = docs.join(names, F.struct(doc_id, th) == F.col(own), "left_semi")
     again = docs.select(doc_id, th).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return out if again.isEmpty() else out.dropDuplicates([id_col, text_col])

@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier over hashed character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A feature is an n-gram of the lower-cased text that occurs in it, with runs of white space as one space. Training
-takes a bounded sample of labelled rows: one distributed pass counts in how many toxic and other texts each bucket occurs
-and gives the log-count ratios; the buckets that tell the classes apart best stay; a second pass over the sample gives
-each text's buckets, to which logistic regression is fitted. Scoring streams whole texts through one weight per bucket.
+takes a bounded sample of labelled rows, written once: one distributed pass counts in how many toxic and other texts each
+bucket occurs and gives the log-count ratios; the buckets that tell the classes apart best stay; a second pass over the
+sample gives each text's buckets, to which logistic regression is fitted. Scoring streams whole texts through one weight
+per bucket. Texts longer than a step are cut with an overlap, so that memory doesn't grow with a text's length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.common import id_and_text, map_arrow, slices
+from findlake.llm.common import id_and_text, map_arrow, slices, written
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -24,33 +26,83 @@ BITS = 20
 SAMPLE_ROWS = 20_000
 #: Buckets with a weight, numbered in 16 bits.
 FEATURES = 1 << 15
-#: Characters that are turned into features at once.
-STEP_BYTES = 1 << 20
+#: Characters that are turned into features at once, and texts; a text's number and a bucket share 32 bits.
+STEP_BYTES = 1 << 17
+STEP_TEXTS = 1 << 12
+_SPACE = re.compile(r"\s+")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 5 == 0
 
 
-def grams(texts: list[str], orders: tuple[int, ...] = ORDERS, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the distinct n-grams of each text, only wanted buckets if a mask is given; sorted by row."""
-    clean = [" " + " ".join(t.lower().split()) + " " for t in texts]
-    lengths = np.array([len(t) for t in clean], np.int64)
-    codes = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
-    left = np.cumsum(lengths)[row] - np.arange(len(codes))  # characters to the end of the row
-    out = []
-    rolled = np.zeros(len(codes), np.uint64)
-    for n in range(1, max(orders) + 1):
-        rolled = rolled[: len(codes) - n + 1] * np.uint64(0x9E3779B1) + codes[n - 1 :]
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _buckets(codes: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, bucket of the n-gram that begins at each place) for each order, one at a time."""
+    rolled = np.zeros(len(codes), np.uint32)
+    for n in range(1, min(max(orders), len(codes)) + 1):
+        rolled = rolled[: len(codes) - n + 1] * np.uint32(0x9E3779B1) + codes[n - 1 :]
         if n in orders:
-            bucket = ((rolled * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
-            ok = left[: len(bucket)] >= n
-            if wanted is not None:
-                ok &= wanted[bucket]
-            out.append(row[: len(bucket)][ok] << BITS | bucket[ok])
-    both = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-    return both >> BITS, both & ((1 << BITS) - 1)
+            yield n, ((rolled ^ rolled >> np.uint32(15)) * np.uint32(0x85EBCA6B) + np.uint32(n * 0x2545F491 & 0xFFFFFFFF)) >> np.uint32(32 - BITS)
+
+
+def _clean(text: str) -> str:
+    return f" {_SPACE.sub(' ', text.lower()).strip(' ')} "
+
+
+def _of_long(text: str, orders: tuple[int, ...]) -> np.ndarray:
+    """The distinct buckets of one text, a step at a time; steps overlap by what an n-gram can reach over."""
+    seen = np.zeros(1 << BITS, bool)
+    for at in range(0, len(text), STEP_BYTES):
+        for _, bucket in _buckets(_codes(text[at : at + STEP_BYTES + max(orders) - 1]), orders):
+            seen[bucket] = True
+    return np.flatnonzero(seen)
+
+
+def _of_short(texts: list[str], orders: tuple[int, ...], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    row = np.repeat(np.arange(len(texts), dtype=np.uint32) << np.uint32(BITS), [len(t) for t in texts])
+    out = []
+    for n, bucket in _buckets(_codes("".join(texts)), orders):
+        ok = row[: len(bucket)] == row[n - 1 :]
+        if wanted is not None:
+            ok &= wanted[bucket]
+        out.append(row[: len(bucket)][ok] | bucket[ok])
+    both = np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint32)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return (both >> np.uint32(BITS)).astype(np.int64), (both & np.uint32((1 << BITS) - 1)).astype(np.int64)
+
+
+def grams(texts: list[str], orders: tuple[int, ...] = ORDERS, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct n-grams of each text, only wanted buckets if a mask is given; sorted by row and bucket."""
+    rows, buckets, open_, size, first = [], [], [], 0, 0
+
+    def close() -> None:
+        if open_:
+            row, bucket = _of_short(open_, orders, wanted)
+            rows.append(row + first)
+            buckets.append(bucket)
+
+    for i, text in enumerate(texts):
+        text = _clean(text)
+        if open_ and (size + len(text) > STEP_BYTES or len(open_) == STEP_TEXTS):
+            close()
+            open_, size = [], 0
+        if len(text) > STEP_BYTES:
+            bucket = _of_long(text, orders)
+            bucket = bucket if wanted is None else bucket[wanted[bucket]]
+            rows.append(np.full(len(bucket), i))
+            buckets.append(bucket)
+            continue
+        if not open_:
+            first = i
+        open_.append(text)
+        size += len(text)
+    close()
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(buckets)) if rows else (none, none)
 
 
 @dataclass
@@ -76,10 +128,11 @@ class Model:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """text and toxic of the sample. Its ids are at most `rows`, so that side of the join is bounded."""
+    """key, text and toxic of the sample: at most `rows` ids, so that side of the join is bounded, and one text for each id."""
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     some = one.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(some), "doc_id").select("text", "toxic")
+    found = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("row"))
+    return found.select(F.xxhash64("doc_id").alias("key"), "row.text", "row.toxic")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +140,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
         for part in slices([batch], "text", STEP_BYTES):
-            texts, toxic = part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False)
+            texts, toxic = part.column(1).to_pylist(), part.column(2).to_numpy(zero_copy_only=False)
             row, bucket = grams(texts)
             rows += np.bincount(toxic, minlength=2)[:2]
             for y in (0, 1):
@@ -160,10 +213,15 @@ def logistic(ends: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
-    """Fits on at most sample_rows labelled rows that are not held out. A text labelled more than once takes the majority."""
-    sample = _labelled(id_and_text(docs), labels, sample_rows)
-    # few rows, so few tasks: each sends counts of all buckets
-    sample = sample.repartition(8)
+    """Fits on at most sample_rows labelled rows that are not held out.
+
+    An id labelled more than once takes the majority, ties toxic; of rows that repeat an id the text with the least hash
+    counts. Null ids and null labels take no part, null texts are empty. The fit takes its rows in the order of their
+    hashes, so it doesn't depend on partitions. Empty tables, or labels of one class, give a model that calls nothing
+    toxic. Other columns are ignored.
+    """
+    # written once: both passes read few rows; few tasks, because each sends counts of all buckets
+    sample = written(_labelled(id_and_text(docs), labels, sample_rows), "toxicity-sample").repartition(8)
     counted = map_arrow(sample, _counts, "piece int, clean binary, toxic binary, n_clean long, n_toxic long")
     sums = counted.groupBy("piece").applyInArrow(_sum, "piece int, clean binary, toxic binary").toArrow()
     seen = np.zeros((2, 256, (1 << BITS) // 256), np.int64)
@@ -187,12 +245,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
         wanted = number >= 0
         for batch in batches:
             for part in slices([batch], "text", STEP_BYTES):
-                row, bucket = grams(part.column(0).to_pylist(), wanted=wanted)
+                row, bucket = grams(part.column(1).to_pylist(), wanted=wanted)
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
                 feature = number[bucket].astype("<u2")
-                yield pa.RecordBatch.from_arrays([pa.array([feature[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), part.column(1)], ["features", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array([feature[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), part.column(2), part.column(0)], ["features", "toxic", "key"])
 
-    rows = map_arrow(sample, chosen, "features binary, toxic int").toArrow()
+    rows = map_arrow(sample, chosen, "features binary, toxic int, key long").toArrow().sort_by([("key", "ascending"), ("features", "ascending")])
     y = rows["toxic"].to_numpy().astype(float)
     data = rows["features"].to_pylist()
     del rows
@@ -204,7 +262,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and predicted of every row. Null and empty texts score what the bias alone gives."""
+    """doc_id, score and predicted of every row.
+
+    Null and empty texts score what the bias alone gives. Rows that repeat are scored each, equal texts alike; a score of
+    exactly 0.5 is toxic. An empty table gives an empty result. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
@@ -216,7 +278,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier does not call toxic, with all their columns."""
+    """The rows of docs that the classifier does not call toxic, with all their columns, repeated rows as often as they come.
+
+    Null texts count as empty; an empty table gives an empty result; no column is added, so names can't clash.
+    """
     model = train(docs, labels)
     at = docs.columns.index(text_col)
 
