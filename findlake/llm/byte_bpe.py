@@ -13,23 +13,26 @@ import base64
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findlake.llm.common import map_arrow
+from findlake.llm.chunks import Kept, encoded
+from findlake.llm.common import map_arrow, slices
 
-#: Pieces a worker keeps; when full it starts anew, which costs time and changes nothing else.
+#: Pieces a worker keeps; the older ones go when it is full, which costs time and changes nothing else.
 KEPT_PIECES = 400_000
 #: Pieces longer than this are encoded by themselves and not kept.
 KEPT_LENGTH = 64
 MARKS = frozenset(".,;:!?")
 #: Letters below this are letters to every version of Unicode; words with others are matched by the pattern.
 PLAIN_LETTERS = "\u0250"
+#: Bytes of texts that are encoded together.
+STEP_BYTES = 2 << 20
 #: Rows of one array of trees.
 ROWS = 20_000
 DEAD = 1 << 62
@@ -58,7 +61,13 @@ class ByteBPE:
                     self.pairs[a << 32 | b] = rank
         self.table = self._table()
         self.findall = regex.compile(pattern).findall
-        self.kept: dict[str, bytes] = {}  # ids as native 32-bit integers
+        self.kept = Kept(KEPT_PIECES)  # ids as native 32-bit integers
+        most = max(self.tokens) + 1
+        self.known, self.sizes = np.zeros(most, bool), np.zeros(most, np.int64)
+        for rank, token in self.tokens.items():
+            self.known[rank], self.sizes[rank] = True, len(token)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.tokens[r] for r in sorted(self.tokens)), np.uint8)
 
     def piece(self, data: bytes) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
@@ -196,9 +205,9 @@ class ByteBPE:
             size *= 2
         return [array("i", self.piece(d)).tobytes() if ids is None else ids for ids, d in zip(out, data, strict=True)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Keeps the ids of new chunks. A chunk of letters is one match, one of letters and a mark is two; others are matched out."""
-        kept, plain, stems, odd = self.kept, [], [], []
+    def _fresh(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks not known yet. A chunk of letters is one match, one of letters and a mark is two; others are matched out."""
+        plain, stems, odd = [], [], []
         for c in new:
             word = c[1:] if c[0] == " " else c
             if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):
@@ -208,95 +217,76 @@ class ByteBPE:
             else:
                 odd.append(c)
         matched = [self.findall(c) for c in odd]
-        more = {c[:-1] for c in stems}.union(*matched, MARKS if stems else ()).difference(kept, plain)
-        plain += more
-        kept.update(zip(plain, self.pieces(plain), strict=True))
-        kept.update([(c, kept[c[:-1]] + kept[c[-1]]) for c in stems])
-        kept.update([(c, b"".join([kept[m] for m in ms])) for c, ms in zip(odd, matched, strict=True)])
-        for c in more.difference(new):  # the caller reads new ones and forgets the long ones
-            if len(c) > KEPT_LENGTH:
-                kept.pop(c, None)
+        more = list({c[:-1] for c in stems}.union(*matched, MARKS if stems else ()).difference(plain))
+        found, missing = self.kept.find(more)
+        got = {c: x for c, x in zip(more, found, strict=True) if x is not None}
+        plain += [more[i] for i in missing]
+        got.update(zip(plain, self.pieces(plain), strict=True))
+        got.update([(c, got[c[:-1]] + got[c[-1]]) for c in stems])
+        got.update([(c, b"".join([got[m] for m in ms])) for c, ms in zip(odd, matched, strict=True)])
+        return [got[c] for c in new]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end). Each distinct chunk of the batch is looked up or encoded once."""
+        return encoded(texts, self.kept, self._fresh, KEPT_LENGTH)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [split_at_words(t) for t in texts]
-        chunks = list(chain.from_iterable(split))
-        found = list(map(self.kept.get, chunks))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if len(self.kept) + len(missing) > KEPT_PIECES:
-            self.kept.clear()
-            missing = range(len(chunks))
-        new = {chunks[i] for i in missing}
-        self._learn(new)
-        for i in missing:
-            found[i] = self.kept[chunks[i]]
-        for c in new:
-            if len(c) > KEPT_LENGTH:
-                self.kept.pop(c, None)
-        ends = np.cumsum([len(s) for s in split]).tolist()
-        return [np.frombuffer(b"".join(found[a:b]), np.int32) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        flat, ends = self.encode_array(pa.array(texts, pa.string()))
+        return np.split(flat, ends[:-1])
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
 
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, where the bytes of each id end)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.known[ids].all()):
+            raise KeyError("an id that no token has")
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        for at in range(0, len(ids), 1 << 17):
+            some = slice(at, at + (1 << 17))
+            where = np.repeat(self.starts[ids[some]] - ends[some] + n[some], n[some])
+            first = int(ends[at] - n[at])
+            where += np.arange(first, first + len(where))
+            out[first : first + len(where)] = self.bytes[where]
+        return out, ends
+
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decode_flat(np.asarray(ids, np.int64))[0].tobytes()
 
 
 def _slot(key: np.ndarray, shift: int) -> np.ndarray:
     return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(shift)).astype(np.int64)
 
 
-def split_at_words(text: str) -> list[str]:
-    """Cuts text into chunks that the pattern matches the same way by themselves.
-
-    The pattern always ends a match before a space that a non-space follows: a run of white space leaves its last space
-    to the word after it, and no other kind of match goes on over white space. A line end between non-spaces is a match
-    of its own. So chunks are words, each with the space before it, and line ends; where there is other white space, or
-    white space stands beside white space or at an end, only the first kind of cut is made.
-    """
-    words = text.split()
-    gaps = len(words) - 1
-    # as many spaces and line ends as gaps, and no other character outside words
-    if gaps == text.count(" ") + text.count("\n") and len(text) - gaps == sum(map(len, words)) and "\0" not in text:
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-    parts = text.split(" ")
-    out = [parts[0]] if parts[0] else []
-    for p in parts[1:]:
-        if not out or p and not p[0].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out
-
-
 @lru_cache(maxsize=4)
 def _codec(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
 def _ids(codec: ByteBPE, texts: pa.Array) -> pa.Array:
-    rows = codec.encode_batch([t or "" for t in texts.to_pylist()])
-    ends = np.zeros(len(rows) + 1, np.int32)
-    ends[1:] = np.cumsum([len(r) for r in rows])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+    flat, ends = codec.encode_array(texts)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
 
 
 def _bytes(codec: ByteBPE, ids: pa.Array) -> pa.Array:
-    ids = ids.cast(pa.list_(pa.int32())) if ids.type != pa.list_(pa.int32()) else ids
-    flat, ends = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy().tolist()
-    return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+    """Null ids give no bytes, like no ids."""
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    data, at = codec.decode_flat(flat)
+    offsets = np.append(0, np.append(0, at)[ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _mapped(df: DataFrame, drop: set[str], new: list[tuple[str, T.DataType]], arrow: Callable[[pa.RecordBatch], list[pa.Array]], step: int = 500) -> DataFrame:
-    """df without some columns and with new ones, computed from a few hundred rows at a time."""
+def _mapped(df: DataFrame, drop: set[str], new: list[tuple[str, T.DataType]], size_of: str, arrow: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """df without some columns and with new ones, computed from batches of a few MB of the column size_of."""
     names = [n for n, _ in new]
     kept = [f for f in df.schema.fields if f.name not in drop and f.name not in names]
     schema = T.StructType([*kept, *(T.StructField(n, kind) for n, kind in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in slices([batch], size_of, STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), *arrow(part)], [*(f.name for f in kept), *names])
 
     return map_arrow(df, run, schema)
@@ -307,12 +297,12 @@ IDS = T.ArrayType(T.IntegerType())
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with an array of token ids of each whole text. Null and empty texts have no ids; a column named like ids_col is replaced."""
-    return _mapped(df, set(), [(ids_col, IDS)], lambda part: [_ids(_codec(path, pattern), part.column(part.schema.get_field_index(text_col)))])
+    return _mapped(df, set(), [(ids_col, IDS)], text_col, lambda part: [_ids(_codec(path, pattern), part.column(part.schema.get_field_index(text_col)))])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """df with the bytes of each row's ids; no ids (or null) give no bytes. An unknown id is an error."""
-    return _mapped(df, set(), [(bytes_col, T.BinaryType())], lambda part: [_bytes(_codec(path, pattern), part.column(part.schema.get_field_index(ids_col)))])
+    return _mapped(df, set(), [(bytes_col, T.BinaryType())], ids_col, lambda part: [_bytes(_codec(path, pattern), part.column(part.schema.get_field_index(ids_col)))])
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -323,7 +313,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -
         ids = _ids(codec, part.column(part.schema.get_field_index(text_col)))
         return [ids, _bytes(codec, ids)]
 
-    return _mapped(df, {text_col}, [("ids", IDS), ("decoded", T.BinaryType())], both)
+    return _mapped(df, {text_col}, [("ids", IDS), ("decoded", T.BinaryType())], text_col, both)
 
 
 def digest(df: DataFrame, *more: str) -> DataFrame:

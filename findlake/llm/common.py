@@ -71,10 +71,11 @@ def drop_written(df: DataFrame) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], size_of: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that the named string or binary column holds about `most` bytes in each."""
+    """Cuts record batches so that the named column holds about `most` bytes (of lists, values) in each, or one row."""
     for batch in batches:
         col = batch.column(size_of)
-        lengths = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        length = pc.list_value_length if pa.types.is_list(col.type) else pc.binary_length
+        lengths = length(col).fill_null(0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(lengths.tolist()):
             if total and total + n > most:

@@ -1,12 +1,17 @@
 """Repeated passages: bytes covered by a string of a given length that also starts anywhere else.
 
-Every string of `length` bytes has one anchor: the place of its least 32-byte hash. Equal strings have equal anchors, so a
-string's repeats are found among the windows of its anchor (the anchor's strings in one place of one text). Windows that are
-equal as a whole are all repeats and fold to one; where an anchor has different windows, these go to a run-length index:
+Every string of `length` bytes has one anchor: its least 32-byte hash. Equal strings have equal anchors, so a string's
+repeats are found among the windows of its anchor (runs of neighbouring strings of one text with one anchor, cut to a
+bounded size). Windows that are equal as a whole are all repeats and fold to one; where an anchor has different windows, or
+its least hash stands twice in one, these go to a run-length index:
 a Burrows-Wheeler transform of bounded blocks of windows, kept as runs with the text places of the run ends. The match
 length with the neighbour in suffix order is compared out at run ends only; along the text it falls by one a byte until
 the next sampled place, so one stream over the text gives all matching statistics. Anchors with too many different
 windows for a block compare the hashes of all their strings, dealt by hash.
+
+Whole windows are held equal by a hash of 128 bits beside their anchor, strings of those anchors by two of 64 bits; two
+different ones agree in both by chance once in 2**128 pairs, which is below the rate at which memory fails. What goes
+through the index is compared symbol by symbol.
 """
 
 from __future__ import annotations
@@ -19,10 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.common import id_and_text, map_arrow, written
+from findlake.llm.common import id_and_text, map_arrow, slices, split_join, written
 
 LENGTH = 400
 GRAM = 32
+#: Bytes of texts that are cut together.
+STEP_BYTES = 1 << 20
+#: Strings of a long text that are hashed together.
+PIECE = 1 << 20
 #: Bytes of windows in one index, and different windows of an anchor from which its strings are dealt by hash.
 BLOCK_BYTES = 1 << 20
 MANY_WINDOWS = 2_000
@@ -48,28 +57,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first string, number of strings) of each anchor; strings are named by where they start."""
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first string, number of strings, may a string repeat inside) of each window; strings are named by where they start.
+
+    A window's strings follow each other and have one least hash, so nothing but the strings themselves decides where they
+    go. Runs longer than a string's hashes are cut: a text of one byte is windows of one content. A string can only repeat
+    inside a window if the least hash stands there twice.
+    """
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, np.zeros(0, bool)
+    if len(data) > PIECE + length:  # windows may end anywhere, so a long text goes in pieces that share no string
+        parts = [(at, anchors(data[at : at + PIECE + length - 1], length)) for at in range(0, len(data) - length + 1, PIECE)]
+        return tuple(np.concatenate([x[k] + at if k == 1 else x[k] for at, x in parts]) for k in range(4))
     w = _words(np.frombuffer(data, np.uint8))
     h = _mix(w[: len(w) - GRAM + 8])
     for j in range(8, GRAM, 8):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[j : j + len(h)])
-    place = np.arange(len(h), dtype=np.uint64)
-    bits = np.uint64(max(1, len(h) - 1).bit_length())
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    least, span = h >> bits << bits | place, 1
+    least, span = h, 1
     window = length - GRAM + 1
     while span * 2 <= window:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < window:
         least = np.minimum(least[: len(h) - window + 1], least[window - span :])
-    chosen = (least & low).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(chosen)) + 1])
-    return h[chosen[first]].view(np.int64), first, np.diff(np.append(first, len(chosen)))
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    n = np.diff(np.append(first, len(least)))
+    if n.max() > window:
+        pieces = -(-n // window)
+        turn = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + turn * window
+        n = np.minimum(np.repeat(n, pieces) - turn * window, window)
+    value = least[first]
+    # places that hold a least hash, found by a few of its bits
+    bits = min(24, max(16, 4 + len(value).bit_length()))
+    low, some = np.uint64((1 << bits) - 1), np.zeros(1 << bits, bool)
+    some[value & low] = True
+    at = np.flatnonzero(some[h & low])
+    order = np.lexsort((at, h[at]))
+    at, found = at[order], h[at][order]
+    twice = np.sort(found[1:][(found[1:] == found[:-1]) & (np.diff(at) < 2 * length)])
+    inside = np.zeros(len(value), bool)
+    if len(twice):
+        inside = twice[np.minimum(np.searchsorted(twice, value), len(twice) - 1)] == value
+    return value.view(np.int64), first, n, inside
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -181,6 +212,14 @@ def _spans(marks: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
     return [(start + a, start + b - 1 + length) for a, b in edges.reshape(-1, 2).tolist()]
 
 
+def joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that overlapping or touching spans cover, in order."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    head = np.append(True, start[1:] > end[:-1])
+    return start[head], end[np.append(head[1:], True)]
+
+
 def _marks(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "th", "start", "end"])
@@ -211,7 +250,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     """doc_id, n_bytes, spans (array of start and end bytes that are covered), kept (the bytes outside them, joined).
 
     Texts are UTF-8 bytes and null is empty; texts shorter than `length` keep everything. Strings never cross texts. Overlapping
-    repeats in one text count, so a long run of one byte is covered. Rows that repeat an id are texts like any others.
+    repeats in one text count, so a long run of one byte is covered. Rows that repeat an id are texts like any others, rows
+    that repeat a text repeat all its strings.
     An empty table gives an empty result. Other columns are ignored.
     """
     if length < GRAM + 8:
@@ -219,51 +259,63 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     texts = id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "anchor", "window", "start", "strings"]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = []
-                for doc, text, th in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    data = text.encode("utf-8", "replace")
-                    h, first, n = anchors(data, length)
-                    if len(h):
-                        whole = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (first + n - 1 + length).tolist(), strict=True)]
-                        out.append(([doc] * len(h), [th] * len(h), h, np.array(whole, np.uint64).view(np.int64), first, n))
-                if out:
-                    doc, th, *rest = zip(*out, strict=True)
-                    columns = [pa.array([x for d in doc for x in d], pa.int64()), pa.array([x for d in th for x in d], pa.int64()), *(pa.array(np.concatenate(c), t) for c, t in zip(rest, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    found = written(map_arrow(texts, find, "doc_id long, th long, anchor long, window long, start int, strings int"), "anchors")
-    classes = found.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start", "strings")).alias("rep"))
-    shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where(F.col("all") > 1).select("anchor", "m")
-    live = written(classes.join(shared, "anchor").select("anchor", "window", "n", "m", "rep.*"), "anchor-windows")
-    # whole windows that occur again
-    again = live.where("n > 1").select("anchor", "window")
-    whole = found.join(again, ["anchor", "window"]).select("doc_id", "th", "start", (F.col("start") + F.col("strings") - 1 + length).cast("int").alias("end"))
+        names = ["doc_id", "th", "anchor", "w1", "w2", "start", "strings", "inside"]
+        for part in slices(batches, "text", STEP_BYTES):
+            doc, th, found, whole = [], [], [], []
+            for one, text, own in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                data = text.encode("utf-8", "replace")
+                h, first, n, inside = anchors(data, length)
+                whole += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(first.tolist(), (first + n - 1 + length).tolist(), strict=True)]
+                found.append((h, first, n, inside))
+                doc.append(pa.repeat(pa.scalar(one, pa.int64()), len(h)))
+                th.append(pa.repeat(pa.scalar(own, pa.int64()), len(h)))
+            h, first, n, inside = (np.concatenate(x) for x in zip(*found, strict=True))
+            pair = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
+            every = [pa.concat_arrays(doc), pa.concat_arrays(th), pa.array(h), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(inside)]
+            for at in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in every], names)
+
+    key = ["anchor", "w1", "w2"]
+    found = written(map_arrow(texts, find, "doc_id long, th long, anchor long, w1 long, w2 long, start int, strings int, inside boolean"), "anchors")
+    classes = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start", "strings")).alias("rep"), F.max("inside").alias("inside"))
+    shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.max("inside").alias("any")).where(F.col("any") | (F.col("all") > 1)).select("anchor", "m")
+    live = written(classes.join(shared, "anchor").select(*key, "n", "m", "inside", "rep.*"), "anchor-windows")
+    # whole windows that occur again; a passage that very many texts hold is joined without a shuffle
+    again = live.where("n > 1").select(*key, "n")
+    whole = split_join(found.select(*key, "doc_id", "th", "start", "strings"), again, key, "n").select("doc_id", "th", "start", (F.col("start") + F.col("strings") - 1 + length).cast("int").alias("end"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part, rows = batch.slice(at, 200), []
-                for doc, th, text, places in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    data = text.encode("utf-8", "replace")
-                    rows += [(doc, th, p["start"], p["anchor"], p["n"], data[p["start"] : p["start"] + p["strings"] - 1 + length], p["m"]) for p in places]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "th", "start", "anchor", "n", "bytes", "m"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "th", "start", "anchor", "n", "bytes", "m"])
+
+        rows, size = [], 0
+        for part in slices(batches, "text", STEP_BYTES):
+            for doc, th, text, places in zip(*(part.column(i) for i in range(4)), strict=True):
+                doc, th, data = doc.as_py(), th.as_py(), text.as_buffer()
+                columns = (places.values.field(c).to_numpy() for c in ("start", "strings", "anchor", "n", "m"))
+                for start, strings, anchor, n, m in zip(*columns, strict=True):
+                    rows.append((doc, th, start, anchor, n, data[start : start + strings - 1 + length].to_pybytes(), m))
+                    size += len(rows[-1][5])
+                    if size > STEP_BYTES:
+                        yield close()
+                        rows, size = [], 0
+        if rows:
+            yield close()
 
     distinct_texts = texts.select("doc_id", "th", "text")
 
     # the windows of anchors that have different ones, cut once for both ways
-    places = live.where("m > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "strings", "anchor", "n", "m")).alias("places"))
+    places = live.where("m > 1 or inside and n = 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "strings", "anchor", "n", "m")).alias("places"))
     holding = distinct_texts.withColumn("key", F.struct("doc_id", "th")).join(places.select(F.struct("doc_id", "th").alias("key"), "places"), "key")
     windows = written(map_arrow(holding.select("key.doc_id", "key.th", "text", "places"), cut, WINDOWS), "windows")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True))
         for block in blocks(rows, length):
-            marks = repeated([r[5] for r in block], length) if len(block) > 1 else []
-            yield _marks([(doc, th, a, b) for (doc, th, start, _, n, _, _), m in zip(block, marks, strict=False) if n == 1 for a, b in _spans(m, start, length)])
+            marks = repeated([r[5] for r in block], length)
+            yield _marks([(doc, th, a, b) for (doc, th, start, _, n, _, _), m in zip(block, marks, strict=True) if n == 1 for a, b in _spans(m, start, length)])
 
     few = map_arrow(windows.where(F.col("m") <= many).repartition("anchor").sortWithinPartitions("anchor"), index, MARKS)
     marks = whole.unionByName(few)
@@ -274,23 +326,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part, sizes, covered, kept = batch.slice(at, 200), [], [], []
-                for text, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    data, out, rest, last = text.encode("utf-8", "replace"), [], [], 0
-                    for a, b in sorted((p["start"], p["end"]) for p in places or ()):
-                        if out and a <= out[-1]["end"]:
-                            out[-1]["end"] = max(out[-1]["end"], b)
-                        else:
-                            out.append({"start": a, "end": b})
-                    for s in out:
-                        rest.append(data[last : s["start"]])
-                        last = s["end"]
-                    sizes.append(len(data))
-                    covered.append(out)
-                    kept.append(b"".join([*rest, data[last:]]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(covered, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+        for part in slices(batches, "text", STEP_BYTES):
+            sizes, covered, kept = [], [], []
+            for text, places in zip(part.column(1), part.column(2), strict=True):
+                data = text.as_buffer().to_pybytes()
+                a, b = joined(*(places.values.field(c).to_numpy() for c in ("start", "end"))) if places.is_valid else (np.zeros(0, np.int32),) * 2
+                sizes.append(len(data))
+                covered.append(pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["start", "end"]))
+                kept.append(b"".join([data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)]))
+            ends = np.append(0, np.cumsum([len(c) for c in covered])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(covered), type=span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     rows = distinct_texts.withColumn("key", F.struct("doc_id", "th")).join(spans, "key", "left").select("key.doc_id", "text", "marks")
     return map_arrow(rows, keep, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

@@ -5,8 +5,8 @@ transposed into byte planes (all lowest bytes, then all second bytes, ...) or bi
 with zstandard by itself, and a chunk index at the end gives each block's place and the documents' lengths.
 
 Layout, little-endian: b"PLN1", block size u32, plane bits u8 (8 or 1), then the compressed planes; footer: number of
-blocks u32, per block and plane the compressed length u32, number of ids u64, number of documents u64, per document its
-id i64 and its number of ids u64; footer length u64, b"1NLP".
+blocks u32, per block and plane the compressed length u32, number of ids u64, number of documents u64, how many of the first
+of them have no id u64, per document its id i64 (0 if none) and its number of ids u64; footer length u64, b"1NLP".
 
 Shards are rows of a Parquet table (part, shard, ids, documents, payload), so that Spark's writers and readers carry
 them to any store and a lost executor leaves no half-written file.
@@ -18,19 +18,21 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findlake.llm.byte_bpe import MARKS, PLAIN_LETTERS, split_at_words
-from findlake.llm.common import id_and_text, map_arrow, new_path
+from findlake.llm.byte_bpe import MARKS, PLAIN_LETTERS
+from findlake.llm.chunks import Kept, encoded
+from findlake.llm.common import id_and_text, map_arrow, new_path, slices
 
 BLOCK = 65_536
-#: Ids after which a shard ends with the document at hand.
+#: Bytes of texts that are encoded together, and ids after which a shard ends with what is encoded so far.
+STEP_BYTES = 2 << 20
 SHARD_IDS = 2_000_000
 KEPT_PIECES = 1_000_000
 KEPT_LENGTH = 64
@@ -55,15 +57,19 @@ def unplanes(parts: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(rows).view("<u4").reshape(-1)
 
 
-def pack(ids: np.ndarray, doc_ids: list[int], lengths: list[int], bits: int = 8, block: int = BLOCK, level: int = 1) -> bytes:
-    """One shard."""
+def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: int = 8, block: int = BLOCK, level: int = 1) -> bytes:
+    """One shard; documents without an id come first."""
+    unnamed = sum(d is None for d in doc_ids)
+    if any(d is None for d in doc_ids[unnamed:]):
+        raise ValueError("documents without an id come first")
+    doc_ids = [0] * unnamed + doc_ids[unnamed:]
     press = zstandard.ZstdCompressor(level=level)
     body, index = [b"PLN1", struct.pack("<IB", block, bits)], []
     for at in range(0, len(ids), block):
         parts = [press.compress(p) for p in planes(ids[at : at + block], bits)]
         body += parts
         index += [len(p) for p in parts]
-    footer = struct.pack("<I", -(-len(ids) // block)) + np.array(index, "<u4").tobytes() + struct.pack("<QQ", len(ids), len(doc_ids)) + np.array(doc_ids, "<i8").tobytes() + np.array(lengths, "<u8").tobytes()
+    footer = struct.pack("<I", -(-len(ids) // block)) + np.array(index, "<u4").tobytes() + struct.pack("<QQQ", len(ids), len(doc_ids), unnamed) + np.array(doc_ids, "<i8").tobytes() + np.array(lengths, "<u8").tobytes()
     return b"".join([*body, footer, struct.pack("<Q", len(footer)), b"1NLP"])
 
 
@@ -82,9 +88,9 @@ class Shard:
         sizes = np.frombuffer(data, "<u4", blocks * self.width, at + 4).astype(np.int64)
         self.starts = 9 + np.concatenate([[0], np.cumsum(sizes)])
         at += 4 + 4 * blocks * self.width
-        self.n_ids, n = struct.unpack_from("<QQ", data, at)
-        self.doc_ids = np.frombuffer(data, "<i8", n, at + 16)
-        self.ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u8", n, at + 16 + 8 * n).astype(np.int64))])
+        self.n_ids, n, unnamed = struct.unpack_from("<QQQ", data, at)
+        self.doc_ids = [None] * unnamed + np.frombuffer(data, "<i8", n, at + 24)[unnamed:].tolist()
+        self.ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u8", n, at + 24 + 8 * n).astype(np.int64))])
         self.unzip = zstandard.ZstdDecompressor()
 
     def one(self, k: int) -> np.ndarray:
@@ -97,10 +103,10 @@ class Shard:
         first = start // self.block
         return np.concatenate([self.one(k) for k in range(first, (end - 1) // self.block + 1)])[start - first * self.block : end - first * self.block]
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, start in the shard, ids); each block is decompressed once."""
         have, at, k = np.zeros(0, "<u4"), 0, 0
-        for i, doc in enumerate(self.doc_ids.tolist()):
+        for i, doc in enumerate(self.doc_ids):
             start, end = int(self.ends[i]), int(self.ends[i + 1])
             more = [have[start - at :]]
             at = start
@@ -147,7 +153,7 @@ class LibraryTokenizer:
         self.marks = {c: self._alone(c) for c in MARKS}
         # a character of the vocabulary stands for one byte
         self.sizes = np.array([len(self.inner.id_to_token(i) or "") for i in range(self.inner.get_vocab_size())], np.int64)
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(KEPT_PIECES)
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -173,8 +179,9 @@ class LibraryTokenizer:
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
-    def _learn(self, new: set[str]) -> None:
-        kept, letters, stems, rest = self.kept, [], [], []
+    def _fresh(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks not known yet."""
+        letters, stems, rest, got = [], [], [], {}
         for c in new:
             word = c[1:] if c[0] == " " else c
             if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):
@@ -182,34 +189,35 @@ class LibraryTokenizer:
             elif word[-1:] in MARKS and (stem := word[:-1]).isalpha() and (stem.isascii() or max(stem) < PLAIN_LETTERS):
                 stems.append(c)
             elif "\n" in c or not word or word[0].isspace() or len(self.line_end) != 1:
-                kept[c] = self._alone(c)
+                got[c] = self._alone(c)
             else:
                 rest.append(c)
-        letters += {c[:-1] for c in stems}.difference(kept, letters)
+        more = list({c[:-1] for c in stems}.difference(letters))
+        found, missing = self.kept.find(more)
+        got.update((c, x) for c, x in zip(more, found, strict=True) if x is not None)
+        letters += [more[i] for i in missing]
         for some, ids in ((letters, self._words), (rest, self._lines)):
             for at in range(0, len(some), 8_192):
                 part = some[at : at + 8_192]
-                kept.update(zip(part, ids(part), strict=True))
-        kept.update([(c, kept[c[:-1]] + self.marks[c[-1]]) for c in stems])
+                got.update(zip(part, ids(part), strict=True))
+        got.update([(c, got[c[:-1]] + self.marks[c[-1]]) for c in stems])
+        return [got[c] for c in new]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end). Each distinct chunk of the batch is looked up or encoded once."""
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            flat, ends = encoded(texts, self.kept, self._fresh, KEPT_LENGTH)
+            return flat.view("<u4"), ends
+        flat, ends = encoded(pc.if_else(pa.array(whole), "", texts), self.kept, self._fresh, KEPT_LENGTH)
+        rows = [np.frombuffer(self._alone(texts[i].as_py()), "<u4") if w else x.view("<u4") for i, (w, x) in enumerate(zip(whole.tolist(), np.split(flat, ends[:-1]), strict=True))]
+        return np.concatenate(rows), np.cumsum([len(x) for x in rows])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {i: self._alone(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        split = [[] if i in whole else split_at_words(t) for i, t in enumerate(texts)]
-        chunks = list(chain.from_iterable(split))
-        found = list(map(self.kept.get, chunks))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if len(self.kept) + len(missing) > KEPT_PIECES:
-            self.kept.clear()
-            missing = range(len(chunks))
-        new = {chunks[i] for i in missing}
-        self._learn(new)
-        for i in missing:
-            found[i] = self.kept[chunks[i]]
-        for c in new:
-            if len(c) > KEPT_LENGTH:
-                del self.kept[c]
-        ends = np.cumsum([len(s) for s in split]).tolist()
-        return [np.frombuffer(whole[i] if i in whole else b"".join(found[a:b]), "<u4") for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
+        flat, ends = self.encode_array(pa.array(texts, pa.string()))
+        return np.split(flat, ends[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -221,35 +229,34 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0
     """Encodes every whole text, appends end_id to each and writes shards in ascending id order to the table `out`.
 
     Parts hold ascending ranges of ids (part 0 the least), shards ascend in a part. Null and empty texts hold end_id
-    alone. Rows without an id come first, as id -1; rows that repeat an id lie side by side. An empty table gives an
-    empty `out`. Other columns are ignored.
+    alone. Rows without an id come first and stay without one; rows that repeat an id lie side by side. An empty table
+    gives an empty `out`. Other columns are ignored.
     """
-    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
+    rows = id_and_text(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, total = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
-        names: list[int] = []
-        end = np.array([end_id], "<u4")
+        names: list[int | None] = []
+        sizes: list[int] = []
 
         def close() -> pa.RecordBatch:
-            flat = np.concatenate(ids)
-            row = [part, number, len(flat), len(names), names[0], pack(flat, names, [len(x) for x in ids], bits)]
+            row = [part, number, total, len(names), names[0], pack(np.concatenate(ids), names, sizes, bits)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "shard", "n_ids", "n_docs", "first_doc", "payload"])
 
-        total = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                for doc, x in zip(some.column(0).to_pylist(), _library(tokenizer).encode(some.column(1).to_pylist()), strict=True):
-                    ids.append(np.concatenate([x, end]))
-                    names.append(doc)
-                    total += len(ids[-1])
-                    if total >= SHARD_IDS:
-                        yield close()
-                        ids, names, total, number = [], [], 0, number + 1
+            for some in slices([batch], "text", STEP_BYTES):
+                flat, ends = _library(tokenizer).encode_array(some.column(1))
+                ids.append(np.insert(flat, ends, end_id).astype("<u4"))
+                names += some.column(0).to_pylist()
+                sizes += (np.diff(ends, prepend=0) + 1).tolist()
+                total += len(ids[-1])
+                if total >= SHARD_IDS:
+                    yield close()
+                    ids, names, sizes, total, number = [], [], [], 0, number + 1
         if names:
             yield close()
 
@@ -273,8 +280,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read back from the files."""
     index = spark.read.schema(SHARDS).parquet(path).select("part", "shard", "n_ids")
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # one small row a shard
-    index = index.select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    # sums over parts first, one small row a task of the writer, then over the shards of each part
+    parts = index.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
+    index = index.withColumn("before", within).join(parts, "part").select("part", "shard", (F.col("first") + F.col("before")).alias("base"))
     docs = read_token_files(spark, path).join(index, ["part", "shard"])
     return docs.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
