@@ -21,16 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findlake.llm.chunks import Kept, encoded
+from findlake.llm.chunks import MARKS, Kept, encoded, sorted_out
 from findlake.llm.common import map_arrow, slices
 
 #: Pieces a worker keeps; the older ones go when it is full, which costs time and changes nothing else.
 KEPT_PIECES = 400_000
 #: Pieces longer than this are encoded by themselves and not kept.
 KEPT_LENGTH = 64
-MARKS = frozenset(".,;:!?")
-#: Letters below this are letters to every version of Unicode; words with others are matched by the pattern.
-PLAIN_LETTERS = "\u0250"
 #: Bytes of texts that are encoded together.
 STEP_BYTES = 2 << 20
 #: Rows of one array of trees.
@@ -207,15 +204,7 @@ class ByteBPE:
 
     def _fresh(self, new: list[str]) -> list[bytes]:
         """Ids of chunks not known yet. A chunk of letters is one match, one of letters and a mark is two; others are matched out."""
-        plain, stems, odd = [], [], []
-        for c in new:
-            word = c[1:] if c[0] == " " else c
-            if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):
-                plain.append(c)
-            elif word[-1:] in MARKS and (stem := word[:-1]).isalpha() and (stem.isascii() or max(stem) < PLAIN_LETTERS):
-                stems.append(c)
-            else:
-                odd.append(c)
+        plain, stems, odd = sorted_out(new)
         matched = [self.findall(c) for c in odd]
         more = list({c[:-1] for c in stems}.union(*matched, MARKS if stems else ()).difference(plain))
         found, missing = self.kept.find(more)

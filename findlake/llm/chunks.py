@@ -9,6 +9,7 @@ their chunks numbered there, so that what is done per chunk is done per distinct
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,19 @@ def gather(ids: list[bytes], code: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return flat[where], np.append(0, total)[np.cumsum(counts)]
 
 
+MARKS = frozenset(".,;:!?")
+#: Letters below U+0250, which are letters to every version of Unicode.
+_LETTERS = "[a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+
+
+def sorted_out(chunks: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Chunks of letters alone, which are one match; of letters and a mark, which are two; others. A space may come first."""
+    column = pa.array(chunks, pa.string())
+    alone = pc.match_substring_regex(column, f"^ ?{_LETTERS}$").to_numpy(zero_copy_only=False)
+    stems = pc.match_substring_regex(column, f"^ ?{_LETTERS}[.,;:!?]$").to_numpy(zero_copy_only=False)
+    return tuple(list(compress(chunks, mask.tolist())) for mask in (alone, stems, ~(alone | stems)))
+
+
 class Kept:
     """What is known of chunks, up to a bound: when the new ones fill a half, the older half goes."""
 
@@ -126,7 +140,10 @@ class Kept:
         return found, missing
 
     def keep(self, chunks: list[str], ids: list[bytes], longest: int) -> None:
-        self.new.update((c, x) for c, x in zip(chunks, ids, strict=True) if len(c) <= longest)
+        if max(map(len, chunks), default=0) <= longest:
+            self.new.update(zip(chunks, ids, strict=True))
+        else:
+            self.new.update((c, x) for c, x in zip(chunks, ids, strict=True) if len(c) <= longest)
         if len(self.new) > self.half:
             self.old, self.new = self.new, {}
 

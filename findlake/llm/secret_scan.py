@@ -2,7 +2,8 @@
 
 Candidates are values assigned to secret-sounding names, values of providers' own shapes, and long strings of
 mixed characters, each of any length. The forest sees a candidate's length, how likely its character transitions are in words, how much of it
-dictionary words cover, its path and the words beside it, and is trained here from labelled findings.
+dictionary words cover, its path and the words beside it (what labelled findings have beside them is learnt, too), and is
+trained here from labelled findings.
 """
 
 from __future__ import annotations
@@ -110,10 +111,49 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-FEATURES = ("length", "entropy", "transition", "coverage", "digits", "upper", "lower", "other", "classes", "hex", "runs", "distinct", "quoted", "word_before", "for_near", "against_near", "against_value", "test_path", "lock_path", *(f"is_{k}" for k in KINDS))
+_NEIGHBOUR = re.compile(r"[a-z][a-z0-9]*", re.I)
 
 
-def features(text: str, start: int, end: int, kind: str, path: str, words: Words) -> list[float]:
+def neighbours(text: str, start: int, end: int) -> frozenset[str]:
+    """The words beside a candidate; a compound name gives its parts. Words that the neighbourhood cuts off don't count."""
+    before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
+    if start > NEAR:
+        before = re.sub(r"^[A-Za-z0-9]+", "", before)
+    if end + NEAR < len(text):
+        after = re.sub(r"[A-Za-z0-9]+$", "", after)
+    return frozenset(w.lower() for side in (before, after) for w in _NEIGHBOUR.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", side.replace("_", " "))))
+
+
+@dataclass
+class Beside:
+    """How often each word stands beside true and beside false findings of the training rows."""
+
+    true: dict[str, int] = field(default_factory=dict)
+    false: dict[str, int] = field(default_factory=dict)
+    n_true: int = 0
+    n_false: int = 0
+
+    def add(self, words: frozenset[str], label: int) -> None:
+        counts = self.true if label else self.false
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+        self.n_true, self.n_false = self.n_true + label, self.n_false + 1 - label
+
+    def odds(self, words: frozenset[str], own: int | None = None) -> tuple[float, float, float]:
+        """Sum, greatest and least of the words' smoothed log-odds; a training row (own: its label) doesn't count itself."""
+        found = []
+        for w in words:
+            a, b = self.true.get(w, 0) - (own == 1), self.false.get(w, 0) - (own == 0)
+            if a + b > 1:
+                found.append(math.log((a + 0.5) / (self.n_true + 1)) - math.log((b + 0.5) / (self.n_false + 1)))
+        return (sum(found), max(found), min(found)) if found else (0.0, 0.0, 0.0)
+
+
+FEATURES = ("length", "entropy", "transition", "coverage", "digits", "upper", "lower", "other", "classes", "hex", "runs", "distinct", "quoted", "word_before", "for_near", "against_near", "against_value", "beside_sum", "beside_most", "beside_least", "test_path", "lock_path", *(f"is_{k}" for k in KINDS))
+
+
+def features(text: str, start: int, end: int, kind: str, path: str, words: Words, known: Beside, own: int | None = None) -> list[float]:
+    """One candidate's row; own is its label if it is a training row."""
     value = text[start:end]
     n = len(value)
     counts = {c: value.count(c) for c in set(value)}
@@ -123,16 +163,17 @@ def features(text: str, start: int, end: int, kind: str, path: str, words: Words
     beside = f"{before} {after}"
     row = [n, -sum(k / n * math.log2(k / n) for k in counts.values()), words.transition(value), words.coverage(value), digits, upper, lower, 1 - digits - upper - lower]
     row += [sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n, bool(re.fullmatch(r"[0-9a-fA-F-]+", value)), max(len(m[0]) for m in re.finditer(r"(.)\1*", value, re.S)) / n, len(counts) / n]
-    row += [before[-1:] in "\"'`" and after[:1] in "\"'`" and bool(before), words.coverage(before[-NEAR:]), len(FOR.findall(beside)), len(AGAINST.findall(beside)), len(AGAINST.findall(re.sub(r"[_\W]+", " ", value)))]
+    row += [before[-1:] in "\"'`" and after[:1] in "\"'`" and bool(before), words.coverage(before[-NEAR:]), len(FOR.findall(beside)), len(AGAINST.findall(beside)), len(AGAINST.findall(re.sub(r"[_\W]+", " ", value))), *known.odds(neighbours(text, start, end), own)]
     row += [bool(TEST_PATH.search(path)), bool(LOCK_PATH.search(path)), *(kind == k for k in KINDS)]
     return [float(x) for x in row]
 
 
 @dataclass
 class Forest:
-    """Trees as arrays: feature (-1 in a leaf), threshold, left child (right is the next), share of true findings."""
+    """Trees as arrays: feature (-1 in a leaf), threshold, left child (right is the next), share of true findings; and the words learnt beside findings."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    beside: Beside = field(default_factory=Beside)
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 10, least: int = 4, seed: int = 11) -> Forest:
@@ -221,12 +262,17 @@ def train(findings: DataFrame, vocabulary: str, sample_rows: int = SAMPLE_ROWS)
     """From rows path, text, label (1 true, 0 false): each row's first candidate counts; rows without one, or with nulls, don't."""
     rows = findings.where("text is not null and label is not null").select(F.coalesce("path", F.lit("")).alias("path"), "text", F.col("label").cast("int").alias("label"))
     rows = rows.orderBy(F.xxhash64("path", "text"), "label").limit(sample_rows).toArrow().to_pydict()
-    words, x, y = _words(vocabulary), [], []
+    words, known, first = _words(vocabulary), Beside(), []
     for path, text, label in zip(rows["path"], rows["text"], rows["label"], strict=True):
         if found := candidates(text):
-            x.append(features(text, *found[0], path, words))
-            y.append(label)
-    return Forest.fit(np.array(x), np.array(y)) if len(set(y)) == 2 else Forest([])
+            first.append((text, *found[0], path, label))
+            known.add(neighbours(text, *found[0][:2]), label)
+    x, y = [features(*row[:-1], words, known, row[-1]) for row in first], [row[-1] for row in first]
+    if len(set(y)) < 2:
+        return Forest([])
+    forest = Forest.fit(np.array(x), np.array(y))
+    forest.beside = known
+    return forest
 
 
 def scan(docs: DataFrame, forest: Forest, vocabulary: str, path_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +290,7 @@ def scan(docs: DataFrame, forest: Forest, vocabulary: str, path_col: str = "sour
                 for a, b, kind in candidates(text):
                     value = text[a:b]
                     found.append((doc, a, b, kind, value[: min(4, len(value) // 4)] + "***", hashlib.sha256(value.encode("utf-8", "replace")).hexdigest()))
-                    x.append(features(text, a, b, kind, path, words))
+                    x.append(features(text, a, b, kind, path, words, forest.beside))
             if found:
                 score = forest.score(np.array(x))
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]

@@ -26,8 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findlake.llm.byte_bpe import MARKS, PLAIN_LETTERS
-from findlake.llm.chunks import Kept, encoded
+from findlake.llm.chunks import MARKS, Kept, encoded, sorted_out
 from findlake.llm.common import id_and_text, map_arrow, new_path, slices
 
 BLOCK = 65_536
@@ -181,14 +180,10 @@ class LibraryTokenizer:
 
     def _fresh(self, new: list[str]) -> list[bytes]:
         """Ids of chunks not known yet."""
-        letters, stems, rest, got = [], [], [], {}
-        for c in new:
-            word = c[1:] if c[0] == " " else c
-            if word.isalpha() and (word.isascii() or max(word) < PLAIN_LETTERS):
-                letters.append(c)
-            elif word[-1:] in MARKS and (stem := word[:-1]).isalpha() and (stem.isascii() or max(stem) < PLAIN_LETTERS):
-                stems.append(c)
-            elif "\n" in c or not word or word[0].isspace() or len(self.line_end) != 1:
+        letters, stems, odd = sorted_out(new)
+        got, rest = {}, []
+        for c in odd:
+            if "\n" in c or c.isspace() or c.lstrip(" ")[0].isspace() or c[:2] == "  " or len(self.line_end) != 1:
                 got[c] = self._alone(c)
             else:
                 rest.append(c)

@@ -9,6 +9,7 @@ the query, so the second pass visits only the part of each annulus that can stil
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from findlake.llm.common import written
 
 #: Pivots, chosen from a bounded sample (farthest first); the index holds every vector whatever the sample.
+#: At least this many, the square root of the number of vectors up to the greatest number.
 PIVOTS = 32
+MOST_PIVOTS = 512
 PIVOT_SAMPLE = 4_096
 #: Vectors in a chunk, queries in a block.
 CHUNK = 2_048
@@ -28,10 +31,14 @@ CHUNKS = "cell int, near double, far double, ids binary, dist binary, vectors bi
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """vec_id and v (floor of scale times each component, as longs). Vectors that are null or hold a null, NaN or infinite component drop out."""
+    """vec_id and v (floor of scale times each component, as longs).
+
+    Vectors that are null or hold a null, NaN or infinite component drop out; a finite component that no long holds is an error.
+    """
     v = F.col(vector_col).cast("array<double>")
-    fit = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 52) / scale))
-    return vectors.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+    fit = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = lambda x: F.when(F.abs(x * F.lit(float(scale))) < 2.0**63, F.floor(x * F.lit(float(scale)))).otherwise(F.raise_error(F.lit("a component beyond 64 bits")))
+    return vectors.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, whole).alias("v"))
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -47,13 +54,16 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where no sum can leave its exact range."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """Exact integer inner products, by floating point where no sum can leave its exact range; one that no long holds is an error."""
+    top = np.abs(a.astype(np.float64)).max(initial=0) * np.abs(b.astype(np.float64)).max(initial=0) * a.shape[1]
     if top < 2**53:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if top < 2**63:
         return a @ b.T
-    raise OverflowError("inner products beyond 64 bits")
+    exact = a.astype(object) @ b.astype(object).T
+    if max(map(abs, exact.flat), default=0) >= 2**63:
+        raise OverflowError("inner products beyond 64 bits")
+    return exact.astype(np.int64)
 
 
 def _distances(v: np.ndarray, pivots: np.ndarray, square: float) -> np.ndarray:
@@ -144,20 +154,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     Components become floor(scale * x). Queries are the rows for which is_query (over vec_id) holds. Vectors that are
     null or hold null or non-finite components take no part; shorter vectors count as padded with zeros, so an empty
-    one scores 0 with all. Ties go to the smaller vec_id. A row is not its own candidate: rows that share the query's
+    one scores 0 with all; a score that no long holds is an error. Ties go to the smaller vec_id. A row is not its own candidate: rows that share the query's
     id are left out. Null ids take no part. Empty tables give an empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = written(quantised(vectors, id_col, vector_col, scale).where("vec_id is not null"), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    width, square = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0))).first()
+    width, square, n = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0)), F.count(F.lit(1))).first()
     result = "query_id long, rank int, vec_id long, score long"
-    if not rows.take(1):
+    if not n:
         return spark.createDataFrame([], result)
     width = max(width, 1)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("v").toArrow()
-    pivots = choose_pivots(_matrix(sample["v"].combine_chunks(), width), square, n_pivots)
-    chunks = written(build_index(rows, width, square, pivots), "pivot-chunks").withColumn("chunk", F.monotonically_increasing_id())
+    pivots = choose_pivots(_matrix(sample["v"].combine_chunks(), width), square, max(n_pivots, min(MOST_PIVOTS, math.isqrt(n))))
+    # numbered before they are written, so that every later scan sees the same numbers
+    chunks = written(build_index(rows, width, square, pivots).withColumn("chunk", F.monotonically_increasing_id()), "pivot-chunks")
     # queries travel in packed blocks of one cell's neighbours, so that a block's distances to every pivot lie close together
     queries = rows.where(is_query)
     blocks = written(build_index(queries, width, square, pivots, BLOCK).select("cell", "near", "far", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).withColumn("block", F.monotonically_increasing_id()), "query-blocks")
@@ -169,7 +180,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             for q_ids, q_v, ids, dist, v, cell, floor in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
                 q_ids, ids, dist = unpack(q_ids, np.int64), unpack(ids, np.int64), unpack(dist, np.float64)
                 q_v, v = unpack(q_v, np.int64).reshape(-1, width), unpack(v, np.int64).reshape(-1, width)
-                least = np.full(len(q_ids), -(1 << 62)) if floor is None else unpack(floor, np.int64)
+                least = np.full(len(q_ids), -(1 << 63)) if floor is None else unpack(floor, np.int64)
                 a, b = np.zeros(len(q_ids), np.int64), np.full(len(q_ids), len(ids))
                 if floor is not None:
                     reach, at = _reach(q_v, least, square), _distances_from(q_v, pivots[cell], square)
@@ -193,7 +204,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         head = group.slice(0, 1)
         ids = unpack(head["q_ids"][0].as_py(), np.int64)
         known = {q: f for q, f in zip(group["query_id"].to_pylist(), group["floor"].to_pylist(), strict=True) if q is not None and f is not None}
-        floor = np.array([known.get(q, -(1 << 62)) for q in ids.tolist()], np.int64)
+        floor = np.array([known.get(q, -(1 << 63)) for q in ids.tolist()], np.int64)
         q_v = unpack(head["q_vectors"][0].as_py(), np.int64).reshape(-1, width)
         reach = _reach(q_v, floor, square)
         at = np.stack([_distances_from(q_v, p, square) for p in pivots], axis=1)
@@ -224,9 +235,10 @@ def _distances_from(q: np.ndarray, pivot: np.ndarray, square: float) -> np.ndarr
 
 
 def _reach(q: np.ndarray, floor: np.ndarray, square: float) -> np.ndarray:
-    """How far from a query a vector that scores its floor can be; a little more for rounding."""
+    """How far from a query a vector that scores its floor can be; a little more for rounding, which grows with the lengths."""
     x = q.astype(np.float64)
-    return np.sqrt(np.maximum((x * x).sum(axis=1) + square - 2 * floor.astype(np.float64), 0)) * (1 + 1e-9) + 1e-3
+    longest = (x * x).sum(axis=1) + square
+    return np.sqrt(np.maximum(longest - 2 * floor.astype(np.float64), 0)) + 2e-6 * np.sqrt(longest) + 1e-3
 
 
 TOP_K_SQL = """
