@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.common import id_and_text, map_arrow, slices, written
+from findlake.llm.common import drop_written, id_and_text, map_arrow, release, slices, written
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -221,12 +221,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     toxic. Other columns are ignored.
     """
     # written once: both passes read few rows; few tasks, because each sends counts of all buckets
-    sample = written(_labelled(id_and_text(docs), labels, sample_rows), "toxicity-sample").repartition(8)
+    stored = written(_labelled(id_and_text(docs), labels, sample_rows), "toxicity-sample")
+    sample = stored.repartition(8)
     counted = map_arrow(sample, _counts, "piece int, clean binary, toxic binary, n_clean long, n_toxic long")
     sums = counted.groupBy("piece").applyInArrow(_sum, "piece int, clean binary, toxic binary").toArrow()
     seen = np.zeros((2, 256, (1 << BITS) // 256), np.int64)
     for k, a, b in zip(*(sums[c].to_pylist() for c in ("piece", "clean", "toxic")), strict=True):
         seen[:, k] = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+    del sums
     seen = seen.reshape(2, -1)
     n = np.array([r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic").collect()])
     if len(n) < 2 or not seen.any():
@@ -250,14 +252,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
                 feature = number[bucket].astype("<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([feature[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), part.column(2), part.column(0)], ["features", "toxic", "key"])
 
-    rows = map_arrow(sample, chosen, "features binary, toxic int, key long").toArrow().sort_by([("key", "ascending"), ("features", "ascending")])
-    y = rows["toxic"].to_numpy().astype(float)
-    data = rows["features"].to_pylist()
-    del rows
-    ends = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data])])
-    feature = np.frombuffer(b"".join(data), "<u2")
-    del data
+    # written, then read a part at a time: neither half of the driver holds the sample twice
+    coded = written(map_arrow(sample, chosen, "features binary, toxic int, key long"), "toxicity-features")
+    data = sorted((r.key, bytes(r.features), r.toxic) for r in coded.toLocalIterator())
+    drop_written(coded)
+    drop_written(stored)
+    y = np.array([t for *_, t in data], float)
+    ends = np.concatenate([[0], np.cumsum([len(x) // 2 for _, x, _ in data])])
+    feature = np.frombuffer(b"".join(x for _, x, _ in data), "<u2")
+    del data, seen, total, expected, gain
+    release()
     w, bias = logistic(ends, feature, ratio, y)
+    del feature, ends
+    release()
     return Model(kept, w * ratio, bias)
 
 
