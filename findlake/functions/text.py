@@ -84,12 +84,8 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(n, F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
-def _class(pattern: str, at: int) -> tuple[str, int] | None:
-    end = pattern.find("]", at + 1)
-    if end < 0:
-        return None
-    body = pattern[at + 1 : end]
-    return "[" + ("^" + body[1:] if body[:1] == "!" else body).replace("\\", "\\\\") + "]", end
+#: A set of characters in a path pattern; an opening bracket that none closes stands for itself.
+BRACKET = re.compile(r"\[(?P<other>!?)(?P<some>[^\]]+)\]")
 
 
 def glob(pattern: str, across: bool = False) -> str:
@@ -113,9 +109,10 @@ def glob(pattern: str, across: bool = False) -> str:
             out.append(".*" if across else "[^/]*")
         elif c == "?":
             out.append("." if across else "[^/]")
-        elif c == "[" and (found := _class(pattern, i)):
-            out.append(found[0])
-            i = found[1]
+        elif found := BRACKET.match(pattern, i):
+            some = found["some"].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out.append(f"[{'^' if found['other'] else ''}{some}]")
+            i = found.end() - 1
         else:
             out.append(re.escape(c))
         i += 1

@@ -313,57 +313,57 @@ def fit_raters(items: DataFrame) -> tuple[DataFrame, dict]:
     return out.where("not anchor").select("id", "grp", "posterior"), report
 
 
-def _clamp(x: float) -> float:
-    return min(1 - 1e-6, max(1e-6, x))
-
-
 def _em(pats: list[tuple]) -> tuple[list[float | None], dict]:
-    post: list[float | None] = [1.0 if t == "tp" else 0.0 if t == "fp" else sum(v == "tp" for v in votes.values()) / len(votes) if votes else None for _, _, votes, t, _, _ in pats]
-    raters = sorted({r for p in pats for r in p[2]})
-    rounds = 0
-    for rounds in range(1, MOST_ROUNDS + 1):  # noqa: B007
-        # weight of true and false items each rater voted on, and how much of it the vote got right
-        every, known, by_category = (defaultdict(lambda: np.zeros(4)) for _ in range(3))
-        anchored: set = set()
-        groups = defaultdict(lambda: np.zeros(2))
-        for (grp, cat, votes, truth, anchor, n), p in zip(pats, post, strict=True):
-            if p is None:
-                continue
-            if not anchor:
-                groups[grp] += (p * n, n)
-            for r, v in votes.items():
-                add = n * np.array([p * (v == "tp"), p, (1 - p) * (v == "fp"), 1 - p])
-                every[r] += add
-                by_category[r, cat] += add
-                if truth is not None:
-                    known[r] += add
-                    anchored.add((r, cat))
-        a, b = RATER_PRIOR
-        pooled, cell = {}, {}
-        for r in raters:
-            s = known[r] if known[r][1] + known[r][3] > 0 else every[r]
-            pooled[r] = ((s[0] + a) / (s[1] + a + b), (s[2] + a) / (s[3] + a + b))
-        for (r, cat), s in by_category.items():
-            sens, spec = pooled[r]
-            if known[r][1] + known[r][3] > 0 and (r, cat) not in anchored:
-                cell[r, cat] = (_clamp(sens), _clamp(spec))
-            else:
-                cell[r, cat] = (_clamp((s[0] + SHRINK * sens) / (s[1] + SHRINK)), _clamp((s[2] + SHRINK * spec) / (s[3] + SHRINK)))
-        pa, pb = PREVALENCE_PRIOR
-        prevalence = {g: _clamp((s + pa) / (n + pa + pb)) for g, (s, n) in groups.items()}
-        moved = 0.0
-        for i, (grp, cat, votes, truth, anchor, _) in enumerate(pats):
-            if truth is not None or post[i] is None or anchor:
-                continue
-            z = math.log(prevalence[grp]) - math.log(1 - prevalence[grp])
-            for r, v in votes.items():
-                sens, spec = cell[r, cat]
-                z += math.log(sens) - math.log(1 - spec) if v == "tp" else math.log(1 - sens) - math.log(spec)
-            new = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
-            moved, post[i] = max(moved, abs(new - post[i])), new
-        if moved < TOLERANCE:
-            break
-    return post, {"raters": {r: pooled[r] for r in raters}, "prevalence": prevalence, "rounds": rounds}
+    """Posteriors of the patterns (grp, category, votes, truth, anchor, n) and the estimates behind them.
+
+    All in arrays: a pattern is a row of +1, -1 and 0 over the raters, and the four tallies of the raters (weight of true
+    items voted on and hit, of false ones voted on and hit) are products of those rows with the patterns' weights, for all
+    patterns, for those of known truth, and category by category.
+    """
+    group, category, votes, truth, anchor, n = (list(c) for c in zip(*pats, strict=True)) if pats else ([],) * 6
+    raters, groups, categories = (sorted(set(x), key=str) for x in ((r for v in votes for r in v), group, category))
+    vote = np.array([[{"tp": 1, "fp": -1}.get(v.get(r), 0) for r in raters] for v in votes]).reshape(len(pats), len(raters))
+    known = np.array([t is not None for t in truth], bool)
+    anchor, n = np.array(anchor, bool), np.array(n, float)
+    of_group = np.array([groups.index(g) for g in group], int)
+    in_category = np.array([[c == k for c in category] for k in categories], float).reshape(len(categories), len(pats))
+    decided = (vote != 0).sum(axis=1)
+    post = np.where(known, [t == "tp" for t in truth], np.where(decided > 0, (vote > 0).sum(axis=1) / np.maximum(decided, 1), np.nan))
+    counted, moving = ~np.isnan(post), ~np.isnan(post) & ~known & ~anchor
+
+    def rates(tally: np.ndarray, prior: tuple) -> np.ndarray:
+        """Sensitivity and specificity from tallies [hit, true, right, false] and (added to hits, added in all) of each."""
+        (hit, all_hit), (right, all_right) = prior
+        return np.stack([(tally[0] + hit) / (tally[1] + all_hit), (tally[2] + right) / (tally[3] + all_right)])
+
+    a, b = RATER_PRIOR
+    shown = (vote != 0).astype(float)
+    anchored = in_category @ (shown * (known & counted)[:, None]) > 0  # [category, rater]
+    estimates, prevalence, rounds = np.zeros((2, len(raters))), np.zeros(len(groups)), 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for rounds in range(1, MOST_ROUNDS + 1):  # noqa: B007
+            p = np.where(counted, post, 0.0)
+            weight = np.where(counted, n, 0.0)
+            parts = np.stack([(vote > 0) * (weight * p)[:, None], shown * (weight * p)[:, None], (vote < 0) * (weight * (1 - p))[:, None], shown * (weight * (1 - p))[:, None]])
+            every, sure = parts.sum(axis=1), (parts * known[:, None]).sum(axis=1)
+            has = sure[1] + sure[3] > 0
+            estimates = rates(np.where(has, sure, every), ((a, a + b), (a, a + b)))
+            cells = in_category @ parts  # [tally, category, rater]
+            local = rates(cells, ((SHRINK * estimates[0], SHRINK), (SHRINK * estimates[1], SHRINK)))
+            cell = np.clip(np.where(has & ~anchored, estimates[:, None, :], local), 1e-6, 1 - 1e-6)
+            pa, pb = PREVALENCE_PRIOR
+            own = weight * ~anchor
+            prevalence = np.clip((np.bincount(of_group, own * p, len(groups)) + pa) / (np.bincount(of_group, own, len(groups)) + pa + pb), 1e-6, 1 - 1e-6)
+            sens, spec = (in_category.T @ c for c in cell)  # of each pattern's category
+            ratio = np.where(vote > 0, np.log(sens) - np.log(1 - spec), np.where(vote < 0, np.log(1 - sens) - np.log(spec), 0.0))
+            odds = (np.log(prevalence) - np.log(1 - prevalence))[of_group] + ratio.sum(axis=1)
+            new = np.where(moving, 1 / (1 + np.exp(-np.clip(odds, -700, 700))), post)
+            moved = float(np.abs(new - post)[moving].max(initial=0))
+            post = new
+            if moved < TOLERANCE:
+                break
+    seen = sorted({group[i] for i in np.flatnonzero(counted & ~anchor)}, key=str)
+    return [None if math.isnan(x) else float(x) for x in post], {"raters": {r: (float(estimates[0, i]), float(estimates[1, i])) for i, r in enumerate(raters)}, "prevalence": {g: float(prevalence[groups.index(g)]) for g in seen}, "rounds": rounds}
 
 
 def summarise(posteriors: DataFrame, by: list[str]) -> DataFrame:

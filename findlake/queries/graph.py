@@ -12,7 +12,7 @@ from findlake.streaming import events as streams
 
 GRAPH_SQL = """
 edges AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, 'contains' AS type FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'touches' FROM supplier
-  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'delivers' FROM orders UNION ALL SELECT 'p' || l_partkey, 'o' || l_orderkey, 'affects' FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT DISTINCT 'o' || o_orderkey, 'cwe' || o_orderkey % 5, 'classified_as' FROM orders),
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'delivers' FROM orders UNION ALL SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey, 'affects' FROM lineitem UNION ALL SELECT DISTINCT 'o' || o_orderkey, 'cwe' || o_orderkey % 5, 'classified_as' FROM orders),
 nodes AS (SELECT 'r' || r_regionkey AS id, 'region' AS kind, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'customer', c_name FROM customer UNION ALL SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'external' ELSE 'supplier' END, s_name FROM supplier
   UNION ALL SELECT 'o' || o_orderkey, 'order', o_orderstatus FROM orders UNION ALL SELECT 'p' || p_partkey, 'part', p_name FROM part UNION ALL SELECT 'cwe' || x, 'cwe', 'CWE-' || x FROM range(5) t(x))"""
 
@@ -21,7 +21,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = lambda name: table(spark, sf_dir, name)
     edge = lambda df, a, b, kind: df.selectExpr(f"concat({a}) as source", f"concat({b}) as target", f"'{kind}' as type")
     node = lambda df, a, kind, name: df.selectExpr(f"concat({a}) as id", f"{kind} as kind", f"{name} as name")
-    edges = [edge(t("nation"), "'r', n_regionkey", "'n', n_nationkey", "contains"), edge(t("customer"), "'n', c_nationkey", "'c', c_custkey", "contains"), edge(t("supplier"), "'n', s_nationkey", "'s', s_suppkey", "touches"), edge(t("orders"), "'o', o_orderkey", "'c', o_custkey", "delivers"), edge(t("lineitem").where("l_linenumber = 1"), "'p', l_partkey", "'o', l_orderkey", "affects"), edge(t("orders"), "'o', o_orderkey", "'cwe', o_orderkey % 5", "classified_as")]
+    edges = [edge(t("nation"), "'r', n_regionkey", "'n', n_nationkey", "contains"), edge(t("customer"), "'n', c_nationkey", "'c', c_custkey", "contains"), edge(t("supplier"), "'n', s_nationkey", "'s', s_suppkey", "touches"), edge(t("orders"), "'o', o_orderkey", "'c', o_custkey", "delivers"), edge(t("lineitem").select("l_partkey", "l_orderkey").distinct(), "'p', l_partkey", "'o', l_orderkey", "affects"), edge(t("orders"), "'o', o_orderkey", "'cwe', o_orderkey % 5", "classified_as")]
     nodes = [node(t("region"), "'r', r_regionkey", "'region'", "r_name"), node(t("nation"), "'n', n_nationkey", "'nation'", "n_name"), node(t("customer"), "'c', c_custkey", "'customer'", "c_name"), node(t("supplier"), "'s', s_suppkey", "case when s_suppkey % 4 = 0 then 'external' else 'supplier' end", "s_name"), node(t("orders"), "'o', o_orderkey", "'order'", "o_orderstatus"), node(t("part"), "'p', p_partkey", "'part'", "p_name"), node(spark.range(5), "'cwe', id", "'cwe'", "concat('CWE-', id)")]
     for parts in (edges, nodes):
         while len(parts) > 1:

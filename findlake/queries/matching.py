@@ -171,15 +171,14 @@ def unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.where("page_id % 2 = 1").join(links.where("page_id % 2 = 0").select("target").distinct(), "target", "left_anti").select("page_id", "target")
 
 
-@query("""WITH s AS (SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber = 1), e AS (SELECT l_partkey, l_shipdate, l_orderkey FROM lineitem WHERE l_linenumber = 2)
-SELECT e.l_orderkey, e.l_partkey, (SELECT arg_max(s.l_quantity, (s.l_shipdate, s.l_orderkey)) FROM s WHERE s.l_partkey = e.l_partkey AND s.l_shipdate <= e.l_shipdate) AS quantity FROM e""")
+@query("""WITH s AS (SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber % 2 = 1), e AS (SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 2 = 0)
+SELECT e.l_orderkey, e.l_linenumber, e.l_partkey, (SELECT arg_max(s.l_quantity, (s.l_shipdate, s.l_orderkey, s.l_linenumber)) FROM s WHERE s.l_partkey = e.l_partkey AND s.l_shipdate <= e.l_shipdate) AS quantity FROM e""")
 def as_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last snapshot at or before each event, by one union and a running last value instead of a range join."""
-    lines = table(spark, sf_dir, "lineitem")
-    snap = lines.where("l_linenumber = 1").select("l_partkey", "l_shipdate", F.lit(0).alias("event"), "l_orderkey", F.col("l_quantity").alias("q"))
-    events = lines.where("l_linenumber = 2").select("l_partkey", "l_shipdate", F.lit(1).alias("event"), "l_orderkey", F.lit(None).cast("double").alias("q"))
-    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "event", "l_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return snap.union(events).withColumn("quantity", F.last("q", True).over(w)).where("event = 1").select("l_orderkey", "l_partkey", "quantity")
+    """The last snapshot at or before each event, by a running last value instead of a range join. Odd lines are snapshots, even ones events."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("event", (F.col("l_linenumber") % 2 == 0).cast("int"))
+    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "event", "l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    found = lines.withColumn("quantity", F.last(F.when(F.col("event") == 0, F.col("l_quantity")), True).over(w))
+    return found.where("event = 1").select("l_orderkey", "l_linenumber", "l_partkey", "quantity")
 
 
 @query(f"WITH {FINDINGS_SQL}, changed AS (SELECT path, list(DISTINCT 'REQ-' || doc_id % 5) AS reqs FROM files WHERE doc_id % 3 = 0 GROUP BY path) SELECT id, array_to_string(list_sort(coalesce(reqs, ['REQ-global'])), ',') AS requirements FROM findings LEFT JOIN changed USING (path)")

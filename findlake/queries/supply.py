@@ -139,15 +139,10 @@ def history_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("findings"), F.count_if(F.col("status") == "new").alias("new"), F.count_if(F.col("severity") == "high").alias("high"))
 
 
-@query("SELECT doc_id, length(substr(text, 1, instr(text, '.') - 1)) - length(replace(substr(text, 1, instr(text, '.') - 1), chr(10), '')) + 1 AS line, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents WHERE contains(text, '.')")
+@query("SELECT doc_id, length(substr(text, 1, instr(text, '.') - 1)) - length(replace(substr(text, 1, instr(text, '.') - 1), chr(10), '')) + 1 AS line, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents WHERE contains(text, '.')")
 def text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = files(spark, sf_dir).where(F.contains("content", F.lit("."))).withColumn("content", posix(F.col("content")))
-    return d.select("doc_id", line_of(F.col("content"), F.locate(".", F.col("content")) - 1).alias("line"), slug(F.substring("content", 1, 40)).alias("slug"))
-
-
-@query("SELECT source, count(*) FILTER (regexp_matches(text, '[A-Z]{6,}!!')) AS shouted, count(*) FILTER (contains(text, '|')) AS tables, count(*) AS n FROM documents GROUP BY source")
-def suppression_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).groupBy(F.col("repo_id").alias("source")).agg(F.count_if(F.col("content").rlike("[A-Z]{6,}!!")).alias("shouted"), F.count_if(F.contains("content", F.lit("|"))).alias("tables"), F.count(F.lit(1)).alias("n"))
+    return d.select("doc_id", line_of(F.col("content"), F.locate(".", F.col("content")) - 1).alias("line"), slug(F.split_part("content", F.lit("\n"), F.lit(1))).alias("slug"))
 
 
 @query("WITH g AS (SELECT c_mktsegment AS language, count(*) AS n FROM customer GROUP BY 1), q AS (SELECT *, floor(n * 0.3)::BIGINT AS base, n * 0.3 - floor(n * 0.3) AS rest FROM g), w AS (SELECT round(sum(n) * 0.3) - sum(base) AS more FROM q), r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, language) AS k FROM q) SELECT language, n, base + CASE WHEN k <= more THEN 1 ELSE 0 END AS held FROM r, w")
@@ -162,13 +157,22 @@ def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Values in provider shapes, put together here so that no token stands in the file.
 _TOKENS = ["AKIA" + "ABCDEFGH" * 2, "ghp_" + "a1" * 18, "xox" + "b-" + "12345678901", "sk_" + "live_" + "a" * 24, "AIza" + "B" * 35, "glpat-" + "c" * 20, "npm_" + "d" * 36, "postgres://u:" + "pw@host"]
-_PLANTED = [("r", "f", "\n".join(f"x = {t}" for t in _TOKENS) + "\nnothing here\n-----BEGIN " + "RSA PRIVATE KEY-----")]
 _ASSIGNED = [("r", "src/a.py", "\n".join(['DB_PASSWORD = "Tr0ub4dor&3xK9z"', "token: 'changeme-please'", 'secret = "secret"', 'api_key = "${API_KEY}"', 'API_KEY_ENV = "MY_KEY_NAME"', 'passwd := "has some spaces in it"', 'client_secret="abcdefgh12"', 'token = "https://x.y/z1"'])), ("r", "tests/b.py", 'password = "admin123"\ntoken = "4f9aB2c8D1e7F6a5B4c3D2e1F0a9B8c7"')]
 
 
-@query("SELECT * FROM (VALUES ('aws-access-key', 'critical', 1), ('gh-token', 'critical', 2), ('slack-token', 'high', 3), ('stripe-key', 'critical', 4), ('google-api-key', 'critical', 5), ('gitlab-token', 'critical', 6), ('npm-token', 'critical', 7), ('pg-url', 'high', 8), ('private-key', 'critical', 10)) t(rule, severity, line_no)")
+_TOKEN_LINES = "[" + ", ".join("'x = " + t + "'" for t in _TOKENS) + "]"
+_TOKEN_RULES = ", ".join(f"('{k}', '{sev}', '{p}')" for k, (sev, p) in secrets.PROVIDER_TOKENS.items() if "(?<" not in p)
+_WIDE_RULES = ", ".join(f"('{k}', '{sev}', '(^|[^A-Za-z0-9_-])' || '{p.split(')', 1)[1].rsplit('(?!', 1)[0]}' || '([^A-Za-z0-9_-]|$)')" for k, (sev, p) in secrets.PROVIDER_TOKENS.items() if "(?<" in p)
+
+
+@query(f"""WITH {FILES_SQL}, rules(rule, severity, pattern) AS (VALUES {_TOKEN_RULES}, {_WIDE_RULES}),
+l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM (SELECT path, content || chr(10) || {_TOKEN_LINES}[doc_id % {len(_TOKENS)} + 1] AS content FROM files))
+SELECT DISTINCT rule, severity, path, line_no FROM l JOIN rules ON regexp_matches(line, pattern)""")
 def provider_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.provider_tokens(relation(spark, _PLANTED, "repo_id string, path string, content string")).select("rule", "severity", "line_no")
+    """Tokens in all documents, each with one more line that holds a token of some provider."""
+    planted = F.element_at(F.array(*[F.lit(f"x = {t}") for t in _TOKENS]), (F.col("doc_id") % len(_TOKENS) + 1).cast("int"))
+    some = files(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n"), planted))
+    return secrets.provider_tokens(some).select("rule", "severity", "path", "line_no").distinct()
 
 
 @query("SELECT * FROM (VALUES ('src/a.py', 1, 'DB_PASSWORD', 'medium'), ('src/a.py', 7, 'client_secret', 'medium'), ('tests/b.py', 2, 'token', 'medium')) t(path, line_no, name, severity)")

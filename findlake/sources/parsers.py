@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ast
 import re
+import shlex
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -128,54 +130,64 @@ def unguarded_checks(text: str) -> Iterator[tuple]:
     yield from visit(tree, "", set(), False)
 
 
-def dockerfile_images(text: str) -> Iterator[tuple]:
-    """line, image, instruction of each image a Dockerfile pulls; its own stages and unknown arguments don't count."""
-    arguments: dict[str, str] = {}
-    stages: set[str] = set()
-    lines, begun, first = [], "", 0
-    for number, line in enumerate(text.splitlines(), 1):
-        if begun and line.lstrip().startswith("#"):
-            continue
-        begun, first = (begun + line, first) if begun else (line, number)
-        if begun.rstrip().endswith("\\"):
-            begun = begun.rstrip()[:-1] + " "
+#: An instruction with the lines that continue it; comments between them don't end it.
+_CONTINUED = re.compile(r"\\[ \t]*\n(?:[ \t]*#[^\n]*\n)*")
+_INSTRUCTION = re.compile(rf"(?m)^(?:[^\n]*?{_CONTINUED.pattern})*[^\n]*$")
+_VARIABLE = re.compile(r"\$\{(?P<long>\w+)(?::(?P<how>[-+])(?P<word>[^}]*))?\}|\$(?P<short>\w+)")
+
+
+@dataclass
+class Instruction:
+    """One instruction of a Dockerfile: where it begins, its word, its --flags and the operands after them."""
+
+    line: int
+    word: str
+    flags: dict[str, str]
+    operands: list[str]
+
+
+def instructions(text: str) -> Iterator[Instruction]:
+    line = at = 0
+    for m in _INSTRUCTION.finditer(text):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        body = _CONTINUED.sub(" ", m[0]).strip()
+        if not body or body.startswith("#"):
             continue
-        lines.append((first, begun.strip()))
-        begun = ""
-    if begun:
-        lines.append((first, begun.strip()))
-
-    def value(word: str) -> str | None:
-        missing = False
-
-        def put(m: re.Match) -> str:
-            nonlocal missing
-            got = arguments.get(m[1] or m[3]) or m[2]
-            missing |= got is None
-            return got or ""
-
-        out = re.sub(r"\$\{(\w+)(?::-([^}]*))?\}|\$(\w+)", put, word)
-        return None if missing else out
-
-    seen = False
-    for number, line in lines:
-        word, _, rest = line.partition(" ")
-        word = word.upper()
-        if word == "ARG" and not seen:
-            for k, _, v in (p.partition("=") for p in rest.split()):
-                if v:
-                    arguments[k] = v.strip("\"'")
-        elif word == "FROM":
-            seen = True
-            parts = [p for p in rest.split() if not p.startswith("--")]
-            if parts and (image := value(parts[0])) and image.lower() not in stages:
-                yield number, image, "FROM"
-            if len(parts) > 2 and parts[1].lower() == "as":
-                stages.add(parts[2].lower())
-        elif word in ("COPY", "ADD") and (m := re.search(r"--from=(\S+)", rest)):
-            ref = m[1].strip("\"'")
-            if not ref.isdigit() and ref.lower() not in stages and (image := value(ref)) and re.search("[/:@]", image):
-                yield number, image, f"{word} --from"
+        try:
+            words = shlex.split(body)
+        except ValueError:  # an open quote
+            words = body.split()
+        flags = {k: v for k, _, v in (w[2:].partition("=") for w in words[1:] if w.startswith("--"))}
+        yield Instruction(line + 1, words[0].upper() if words else "", flags, [w for w in words[1:] if not w.startswith("--")])
+
+
+def _filled(word: str, arguments: dict[str, str]) -> str | None:
+    """The word with its variables put in; None if one has no value."""
+
+    def put(m: re.Match) -> str:
+        value = arguments.get(m["long"] or m["short"], "")
+        if m["how"] == "+":
+            return m["word"] if value else ""
+        return value or (m["word"] if m["how"] else "\0")
+
+    out = _VARIABLE.sub(put, word)
+    return None if "\0" in out else out
+
+
+def dockerfile_images(text: str) -> Iterator[tuple]:
+    """line, image, instruction of each image a Dockerfile pulls; its own stages and arguments without a value don't count."""
+    every = list(instructions(text))
+    begins = next((k for k, i in enumerate(every) if i.word == "FROM"), len(every))
+    arguments = {k: v for i in every[:begins] if i.word == "ARG" for k, _, v in (o.partition("=") for o in i.operands) if v}
+    stages: dict[str, int] = {}
+    for k, i in enumerate(every):
+        if i.word == "FROM" and len(i.operands) > 2 and i.operands[1].lower() == "as":
+            stages.setdefault(i.operands[2].lower(), k)
+    for k, i in enumerate(every):
+        source = i.operands[0] if i.word == "FROM" and i.operands else i.flags.get("from", "") if i.word in ("COPY", "ADD") else ""
+        image = _filled(source, arguments) if source and not source.isdigit() else None
+        if image and stages.get(image.lower(), k) >= k and (i.word == "FROM" or re.search("[/:@]", image)):
+            yield i.line, image, "FROM" if i.word == "FROM" else f"{i.word} --from"
 
 
 TOKEN = re.compile(r'\s+|#[^\n]*|//[^\n]*|/\*.*?\*/|(?P<here><<-?\s*(?P<tag>\w+)\n.*?\n\s*(?P=tag)\b)|(?P<text>"(?:\\.|\$\{[^}]*\}|[^"\\])*")|(?P<word>[A-Za-z_][\w.-]*(?:\[[^\]\n]*\][\w.]*)*)|(?P<number>-?\d[\w.]*)|(?P<mark>[{}\[\]()=,:?]|[^\s\w])', re.S)
