@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op5_topk": topk.TOP_K_SQL}
+    return {"op2_repeats": repeats.REPEATS_SQL, "op4_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op5_topk": topk.TOP_K_SQL}

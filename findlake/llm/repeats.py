@@ -410,3 +410,19 @@ def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Texts as hexadecimal digits; every string of 400 bytes by its hash, cut from pieces of 512 starts.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, k, substr(h, 1024 * k + 1, 1822) AS piece FROM (SELECT r, h, unnest(range(0, (length(h) // 2 - 400) // 512 + 1)) AS k FROM d WHERE length(h) >= 800)),
+s AS (SELECT r, 512 * k + j AS i, md5_number(substr(piece, 2 * j + 1, 800)) AS g FROM (SELECT r, k, piece, unnest(range(0, least(512, length(piece) // 2 - 399))) AS j FROM pieces)),
+again AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+marks AS (SELECT r, i FROM s JOIN again USING (g)),
+heads AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS head FROM marks),
+runs AS (SELECT r, i, sum(head) OVER (PARTITION BY r ORDER BY i) AS run FROM heads),
+spans AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, run),
+cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM cuts JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
