@@ -120,12 +120,17 @@ def discrimination(hits: DataFrame, exposure: DataFrame) -> DataFrame:
 
 
 def profile(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, median (mean of the middle), p90, p95, p99 (nearest rank above, not interpolated) and max, by exact ranks."""
+    """n, median (mean of the middle), p90, p95, p99 (nearest rank above, not interpolated) and max, by exact ranks.
+
+    Equal values fold to one row with their number first, so that only distinct values of a group are put in order.
+    """
     w = Window.partitionBy(*by)
-    rows = values.where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    n, at = F.col("n"), F.col("k")
-    pick = lambda q: F.max(F.when(at == F.least(n - 1, F.floor(n * q)), F.col(value)))
-    mid = F.avg(F.when((at == F.floor((n - 1) / 2)) | (at == F.floor(n / 2)), F.col(value)))
+    rows = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("same"))
+    rows = rows.withColumn("upto", F.sum("same").over(w.orderBy(value))).withColumn("n", F.sum("same").over(w))
+    n = F.col("n")
+    at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("same") <= k), F.col(value)))
+    pick = lambda q: at(F.least(n - 1, F.floor(n * q)))
+    mid = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2.0
     return rows.groupBy(*by).agg(F.first("n").alias("n"), mid.alias("median"), pick(0.90).alias("p90"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.max(value).alias("max"))
 
 
@@ -168,7 +173,9 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: list[str], n: int
     quota = rows.sparkSession.createDataFrame([(*k, v, sizes[k]) for k, v in given.items()], ", ".join([f"{c} string" for c in strata] + ["quota long", "stratum_size long"]))
     draw = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))), 256)
     w = Window.partitionBy(*strata).orderBy(draw, *key)
-    return rows.join(F.broadcast(quota), strata).withColumn("turn", F.row_number().over(w)).where("turn <= quota").drop("turn", "quota")
+    # the greatest quota as a literal lets each task drop what can't be in the sample before anything moves
+    most = max(given.values(), default=0)
+    return rows.join(quota, strata).withColumn("turn", F.row_number().over(w)).where((F.col("turn") <= most) & (F.col("turn") <= F.col("quota"))).drop("turn", "quota")
 
 
 def review_queue(pool: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
@@ -266,6 +273,8 @@ def _profile_interval(history: dict, t: int, some: tuple, total: float, most: fl
 
 def loglinear_total(history: dict[tuple[int, ...], float]) -> dict | None:
     """Unseen total by the log-linear model of least AIC that keeps a degree of freedom; ties go to the simpler one."""
+    if not history:
+        return None
     t = len(next(iter(history)))
     cells = [tuple(int(b) for b in f"{k:0{t}b}") for k in range(1, 1 << t)]
     y = np.array([history.get(c, 0.0) for c in cells])

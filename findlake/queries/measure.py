@@ -145,7 +145,7 @@ def loglinear_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fit over the at most seven cells of three detectors."""
     cells = {tuple(int(b) for b in f"{r['history']:03b}"): float(r["n"]) for r in _histories(spark, sf_dir).groupBy("history").agg(F.sum("n").alias("n")).collect()}
     e = measure.loglinear_total(cells)
-    return spark.createDataFrame([(e["n_hat"], e["lo"], e["hi"], e["observed"], e["aic"], str(e["pairs"]))], "n_hat double, lo double, hi double, observed double, aic double, pairs string")
+    return spark.createDataFrame([(e["n_hat"], e["lo"], e["hi"], e["observed"], e["aic"], str(e["pairs"]))] if e else [], "n_hat double, lo double, hi double, observed double, aic double, pairs string")
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findlake.functions.stats import Z95
 from findlake.operators import graph as graphs
 from findlake.operators import measure, rules
 from findlake.operators.matching import longest_prefix
@@ -171,14 +172,16 @@ def findings_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).rollup(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder"), "dimension").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files")).where("folder is not null")
 
 
-_PORTS = [("s1", '{"ports": [80, {"containerPort": 8080, "name": "x"}], "other": 5}'), ("s2", '{"spec": {"port": 443}, "list": []}')]
+_PORTS = [("s1", '{"ports": [80, 443, {"containerPort": 8080, "name": "x"}], "other": 5}'), ("s2", '{"spec": {"port": 443}, "list": []}')]
 
 
-@query("SELECT * FROM (VALUES ('s1', 80), ('s1', 8080), ('s2', 443)) t(service, port)")
+@query("SELECT * FROM (VALUES ('s1', 80), ('s1', 443), ('s1', 8080), ('s2', 443)) t(service, port)")
 def collected_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers under names of ports, at any depth: every key and value pair of the text of a parsed document."""
     d = relation(spark, _PORTS, "service string, doc string")
-    named = d.select("service", F.explode(F.regexp_extract_all("doc", F.lit(r'"[A-Za-z]*[pP]orts?": *\[? *(\d+)'), 1)).alias("port"))
+    single = F.regexp_extract_all("doc", F.lit(r'"[A-Za-z]*[pP]orts?": *(\d+)'), 1)
+    listed = F.regexp_replace(F.array_join(F.regexp_extract_all("doc", F.lit(r'"[A-Za-z]*[pP]orts?": *\[([^\]]*)\]'), 1), ","), r"\{[^}]*\}", "")
+    named = d.select("service", F.explode(F.concat(single, F.regexp_extract_all(listed, F.lit(r"(\d+)"), 1))).alias("port"))
     return named.select("service", F.col("port").cast("int").alias("port"))
 
 
@@ -207,10 +210,14 @@ def capped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("rule_id").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("evidence"))
 
 
-@query(f"WITH {VOTES_SQL}, g AS (SELECT rule_id, sum(y)::INT AS tp, sum(1 - y)::INT AS fp FROM votes GROUP BY rule_id) SELECT rule_id, tp, fp, tp + fp < 30 AS thin FROM g ORDER BY tp DESC")
+#: Square of the normal quantile of the 95 per cent interval.
+Z2 = Z95**2
+
+
+@query(f"WITH {VOTES_SQL}, g AS (SELECT rule_id, sum(y)::INT AS tp, sum(1 - y)::INT AS fp FROM votes GROUP BY rule_id) SELECT rule_id, tp, fp, tp + fp < 30 AS thin, coalesce((SELECT min(k) FROM range(0, 2001) t(k) WHERE ((tp + k)::DOUBLE / (tp + fp + k) + {Z2} / (2 * (tp + fp + k)) - sqrt({Z2} * ((tp + k)::DOUBLE / (tp + fp + k) * (1 - (tp + k)::DOUBLE / (tp + fp + k)) / (tp + fp + k) + {Z2} / (4.0 * (tp + fp + k) * (tp + fp + k))))) / (1 + {Z2} / (tp + fp + k)) >= 0.97), -1)::INT AS needed FROM g")
 def label_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = votes(spark, sf_dir).groupBy("rule_id").agg(F.sum("y").cast("int").alias("tp"), F.sum(1 - F.col("y")).cast("int").alias("fp"))
-    return g.withColumn("needed", measure.labels_needed(F.col("tp"), F.col("fp"), 0.97)).orderBy(F.col("needed").asc_nulls_last(), "rule_id").select("rule_id", "tp", "fp", (F.col("tp") + F.col("fp") < 30).alias("thin"))
+    return g.withColumn("needed", measure.labels_needed(F.col("tp"), F.col("fp"), 0.97)).orderBy(F.col("needed").asc_nulls_last(), "rule_id").select("rule_id", "tp", "fp", (F.col("tp") + F.col("fp") < 30).alias("thin"), F.coalesce("needed", F.lit(-1)).cast("int").alias("needed"))
 
 
 @query("SELECT p_partkey, CASE WHEN starts_with(p_type, 'PROMO') THEN 0.1 ELSE 1.0 END::DOUBLE AS budget FROM part")

@@ -59,7 +59,8 @@ def once(events: DataFrame, keys: list[str], late: str, at: str = "ts") -> DataF
 def limit_rate(events: DataFrame, key: str, most: int, seconds: int, at: str = "ts") -> DataFrame:
     """event_id, key and allowed: at most `most` allowed events of a key in any rolling span; refused ones don't count.
 
-    State is the times of the last allowed events of a key, never more than `most`, and leaves when a span has passed.
+    State is the times of the last allowed events of a key, never more than `most`. It stays for each key as long as the
+    stream runs: a watermark that let it go would refuse late events, which are limited here like any others of their batch.
     """
     kind = dict(events.dtypes)[key]
 
