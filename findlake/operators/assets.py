@@ -82,6 +82,19 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
+def _texts(values) -> str:
+    return "array(" + ", ".join("'" + v.lower().replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
+
+
+def _meets(column: str, values) -> Column:
+    """An array column shares an element with the texts."""
+    return F.expr(f"arrays_overlap({column}, {_texts(values)})") if values else F.lit(False)
+
+
+def _says(values) -> Column:
+    return F.expr(f"exists({_texts(map(needle, values))}, n -> contains(__text, n))") if values else F.lit(False)
+
+
 def _at(path: str) -> Column:
     return F.try_variant_get("__v", "$." + path.lower(), "string")
 
@@ -89,14 +102,12 @@ def _at(path: str) -> Column:
 def _truthy(value: Column) -> Column:
     number = value.rlike(r"^-?[0-9.]+$") & ~value.rlike(r"^-?[0.]+$")
     filled = value.rlike(r"^[\[{]") & ~value.isin("[]", "{}")
-    return F.coalesce(F.trim(value).isin(*TRUE) | number | filled, F.lit(False))
+    return F.trim(value).isin(*TRUE) | number | filled
 
 
-def _present(path: str) -> Column:
-    """An identifier is there: for a key or a set of keys that counts as true."""
-    if not any(path == name or path.endswith(("." + name, "_" + name)) for name in REFERENCES):
-        return F.lit(False)
-    return F.coalesce(~F.trim(_at(path)).isin(*NOTHING), F.lit(False))
+def _identifiers(paths) -> list[str]:
+    """Those of the paths whose value is an identifier: that it is there counts as true."""
+    return [p for p in paths if any(p == name or p.endswith(("." + name, "_" + name)) for name in REFERENCES)]
 
 
 def _among(value: Column, bad: list[str]) -> Column:
@@ -124,21 +135,24 @@ def _blocks() -> Column:
 def outcome(rule: AssetRule) -> Column:
     """satisfied, violated or unknown: what rests on a value that isn't known before the plan is applied is unknown, not violated."""
     props = [p.lower() for p in rule.properties]
-    undecided = _any([F.array_contains("__unknown", p) | F.array_contains("__unknown", p.split(".")[0]) for p in props])
-    text = _any([F.contains("__text", F.lit(needle(v))) for v in rule.values])
-    bad = [v.lower() for v in rule.values]
+    undecided = _meets("__unknown", [*props, *(p.split(".")[0] for p in props)])
     if rule.check == "property_truthy":
-        state = F.when(_any([_truthy(_at(p)) | _present(p) for p in props]), "satisfied").when(undecided, "unknown").otherwise("violated")
-    elif rule.check in ("property_absent_or_false", "property_not_in", "no_open_ingress"):
-        broken = {"property_absent_or_false": lambda: _any([_truthy(_at(p)) for p in props]), "property_not_in": lambda: _any([_among(_at(p), bad) for p in props]), "no_open_ingress": _open_ingress}[rule.check]()
-        state = F.when(broken, "violated").when(undecided, "unknown").otherwise("satisfied")
+        state = F.when(_meets("__true", props) | _meets("__named", _identifiers(props)), "satisfied").when(undecided, "unknown").otherwise("violated")
     elif rule.check == "property_equals":
-        state = F.when(undecided, "unknown").when(F.coalesce(_at(props[0]) == bad[0], F.lit(False)), "satisfied").otherwise("violated")
+        held = F.exists("__got", lambda g: (g["path"] == props[0]) & (g["value"] == rule.values[0].lower()))
+        state = F.when(undecided, "unknown").when(held, "satisfied").otherwise("violated")
+    elif rule.check == "property_absent_or_false":
+        state = F.when(_meets("__true", props), "violated").when(undecided, "unknown").otherwise("satisfied")
+    elif rule.check == "property_not_in":
+        bad = F.exists("__got", lambda g: g["path"].isin(*props) & _among(g["value"], [v.lower() for v in rule.values]))
+        state = F.when(bad, "violated").when(undecided, "unknown").otherwise("satisfied")
+    elif rule.check == "no_open_ingress":
+        state = F.when(_open_ingress(), "violated").when(undecided, "unknown").otherwise("satisfied")
     elif rule.check in ("text_absent", "text_present"):
-        state = F.when(text == F.lit(rule.check == "text_present"), "satisfied").otherwise("violated")
+        state = F.when(_says(rule.values) == F.lit(rule.check == "text_present"), "satisfied").otherwise("violated")
     else:
         raise ValueError(f"unknown assertion {rule.check}")
-    settled = _any([_truthy(_at(p)) for p in rule.unless_truthy] + [F.array_contains("__referenced", p.lower()) for p in rule.unless_referenced_by] + [F.contains("__text", F.lit(needle(v))) for v in rule.unless_text_present])
+    settled = _meets("__true", rule.unless_truthy) | _meets("__referenced", rule.unless_referenced_by) | _says(rule.unless_text_present)
     return F.when(settled, "satisfied").otherwise(state)
 
 
@@ -172,7 +186,13 @@ def evaluate(resources: DataFrame, rules: list[AssetRule] | None = None) -> Data
         rows = rows.join(links, F.col("repo_id").eqNullSafe(F.col("__r")) & (F.lower("address") == F.col("__a")), "left").withColumn("__referenced", F.coalesce("__referenced", F.array().cast("array<string>")))
     else:
         rows = rows.withColumn("__referenced", F.array().cast("array<string>"))
-    rows = rows.withColumn("__block", _blocks())
+    # every property that a rule names is read once a resource; rules then ask which of them hold
+    paths = sorted({p.lower() for r in rules for p in (*r.properties, *r.unless_truthy)})
+    got = F.expr("array(" + ", ".join(f"struct('{p}' AS path, try_variant_get(__v, '$.{p}', 'string') AS value)" for p in paths) + ")") if paths else F.array().cast("array<struct<path:string,value:string>>")
+    rows = rows.withColumn("__block", _blocks()).withColumn("__got", F.filter(got, lambda g: g["value"].isNotNull()))
+    named = F.expr(f"transform(filter(__got, g -> NOT array_contains({_texts(NOTHING)}, trim(g.value))), g -> g.path)")
+    rows = rows.withColumn("__true", F.transform(F.filter("__got", lambda g: _truthy(g["value"])), lambda g: g["path"])).withColumn("__named", named)
     decided = F.array(*[F.when(_applies(r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), outcome(r).alias("outcome"))) for r in rules])
-    found = rows.select("repo_id", "address", F.explode(F.array_compact(decided)).alias("d"))
+    # an inner explode would have its condition, with every rule in it, computed once more below
+    found = rows.select("repo_id", "address", F.explode_outer(decided).alias("d")).where("d is not null")
     return found.select("repo_id", "address", "d.rule_id", "d.severity", "d.outcome")
