@@ -1,3 +1,3 @@
 """Registered queries of the library's own operators."""
 
-from findlake.queries import assets, graph, identity, lines, matching, measure, rules, supply  # noqa: F401
+from findlake.queries import assets, gaps, graph, identity, lines, matching, measure, rules, supply  # noqa: F401
