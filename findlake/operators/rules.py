@@ -60,23 +60,31 @@ def run_rule(captures: DataFrame, scopes: DataFrame, rule: PackRule) -> DataFram
 
 
 def house_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """id, path of each breach. Types: file_exists, file_absent, content_match (forbidden text), metric_threshold (lines)."""
-    out = None
-    for r in rules:
-        some = files.where(F.col("path").rlike(glob(r["path"])))
-        if r["type"] == "file_exists":
-            found = some.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(r["path"]).alias("path"))
-        elif r["type"] == "file_absent":
-            found = some.select("path")
-        elif r["type"] == "content_match":
-            found = some.where(F.col("content").rlike(r["pattern"])).select("path")
+    """id, path of each breach. Types: file_exists, file_absent, content_match (forbidden text), metric_threshold (lines).
+
+    One scan decides every rule about single files, another, of paths alone, those about files that must exist.
+    """
+
+    def broken(r: dict) -> Column:
+        on = F.col("path").rlike(glob(r["path"]))
+        if r["type"] == "content_match":
+            on &= F.col("content").rlike(r["pattern"])
         elif r["type"] == "metric_threshold":
-            found = some.where(F.size(F.split("content", "\n")) > r["max"]).select("path")
-        else:
+            on &= F.size(F.split("content", "\n")) > r["max"]
+        return F.when(on, F.lit(r["id"]))
+
+    for r in rules:
+        if r["type"] not in ("file_exists", "file_absent", "content_match", "metric_threshold"):
             raise ValueError(f"unknown house rule type {r['type']}")
-        found = found.select(F.lit(r["id"]).alias("id"), "path")
-        out = found if out is None else out.unionByName(found)
-    return out
+    wanted, single = [r for r in rules if r["type"] == "file_exists"], [r for r in rules if r["type"] != "file_exists"]
+    nothing = F.array().cast("array<string>")
+    # an inner explode would have its condition, with every rule in it, computed once more below
+    found = files.select(F.explode_outer(F.array(*map(broken, single)) if single else nothing).alias("id"), "path").where("id is not null")
+    if not wanted:
+        return found
+    counts = files.agg(*[F.count_if(F.col("path").rlike(glob(r["path"]))).alias(f"n{i}") for i, r in enumerate(wanted)])
+    absent = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["path"]).alias("path"), F.col(f"n{i}").alias("n")) for i, r in enumerate(wanted)])
+    return found.unionByName(counts.select(F.inline(absent)).where("n = 0").select("id", "path"))
 
 
 def reference_integrity(references: DataFrame, anchors: DataFrame) -> DataFrame:
