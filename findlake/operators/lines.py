@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.functions.supply import SHA, action_issue
+from findlake.functions.supply import SHA, action_issue, java_issue
+from findlake.sources.builds import maven_versions
+from findlake.sources.parsers import parse
 
 # fixed values: comments that switch a tool off, the rules they name in the first group
 SUPPRESSIONS = {
@@ -19,6 +21,10 @@ SUPPRESSIONS = {
 # fixed values: what installs packages, and its own tools, whose version is no matter
 INSTALL = r"^\s*(?:(?:RUN|sudo|-|run:)\s+)*(?:python3?\s+-m\s+)?(pip|pip3|npm|yarn|gem)\s+(?:install|i|add)\s+(.*)$"
 TOOLCHAIN = ("pip", "setuptools", "wheel", "npm", "bundler")
+# fixed values: how Gradle names a dependency, a plugin, the build's own version
+COORDINATE = r"[\"']([\w.\-]+:[\w.\-]+):([^\"':@\s]+)(?:[:@][^\"']*)?[\"']"
+PLUGIN = r"\bid\s*\(?\s*[\"']([\w.\-]+)[\"']\s*\)?\s+version\s*\(?\s*[\"']([^\"']+)[\"']"
+OWN_VERSION = r"(?m)^\s*(?:project\.)?version\s*=\s*[\"']([^\"']+)[\"']"
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -70,3 +76,30 @@ def suppression_census(files: DataFrame) -> DataFrame:
     some = lines(files).where(F.col("line").rlike("|".join(SUPPRESSIONS.values())))
     found = some.select("repo_id", F.explode(every).alias("s")).select("repo_id", "s.tool", F.explode("s.rules").alias("rule"))
     return found.groupBy("repo_id", "tool").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("rule", F.lit("")) == "").alias("blanket"))
+
+
+def gradle_pins(files: DataFrame) -> DataFrame:
+    """repo_id, path, line_no, name, version, issue of what a Gradle build takes at no exact version.
+
+    Snapshots count in a build whose own version is a release. Where the build locks its dependencies, by a lock file beside it
+    or in its text, only snapshots do. Folders of lock files are joined by repository and folder.
+    """
+    builds = files.where(F.col("path").rlike(r"\.gradle(\.kts)?$"))
+    folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    locks = files.where(F.col("path").rlike(r"(^|/)gradle\.lockfile$")).select(F.col("repo_id").alias("__r"), folder.alias("__d")).distinct().withColumn("__beside", F.lit(True))
+    own = F.regexp_extract("content", OWN_VERSION, 1)
+    of = builds.select("repo_id", "path", folder.alias("__folder"), own.rlike("(?i)^(?!.*-snapshot$).+").alias("released"), F.contains("content", F.lit("dependencyLocking")).alias("locks"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    of = of.withColumn("line", F.regexp_replace("line", r"(^|\s)//.*$", ""))
+    named = lambda shape: F.arrays_zip(F.regexp_extract_all("line", F.lit(shape), 1).alias("name"), F.regexp_extract_all("line", F.lit(shape), 2).alias("version"))
+    found = of.where(F.col("line").rlike(COORDINATE) | F.col("line").rlike(PLUGIN)).select("*", F.explode(F.concat(named(COORDINATE), named(PLUGIN))).alias("d"))
+    found = found.withColumn("issue", java_issue(F.col("d.version"), F.col("released"))).where("issue <> ''")
+    found = found.join(locks, F.col("repo_id").eqNullSafe(F.col("__r")) & (F.col("__folder") == F.col("__d")), "left")
+    locked = F.col("locks") | F.coalesce("__beside", F.lit(False))
+    return found.where(~locked | (F.col("issue") == "snapshot")).select("repo_id", "path", (F.col("at") + 1).alias("line_no"), "d.name", "d.version", "issue")
+
+
+def maven_pins(files: DataFrame) -> DataFrame:
+    """repo_id, path, coordinate, version (as written), issue of what a Maven project takes at no exact version."""
+    rows = parse(files.where(F.contains("content", F.lit("<project"))), maven_versions, "coordinate string, raw string, version string, counts boolean")
+    issue = java_issue(F.col("version"), F.col("counts"))
+    return rows.select("repo_id", "path", "coordinate", F.col("raw").alias("version"), issue.alias("issue")).where("issue <> ''")

@@ -15,6 +15,10 @@ USES = ["  - uses: actions/checkout@v4", f"  - uses: a/b@{SHA}", "    uses: ./lo
 HOOKS = ["- repo: https://h/ruff\n  rev: v0.4.1\n- repo: local\n  rev: x", f"- repo: https://h/black\n  rev: {SHA}", "- repo: 'https://h/mypy'\n    rev: 'main'"]
 INCLUDES = ["  - project: g/tools\n    ref: main\n    file: a.yml", f"  - project: 'g/t2'\n    file: b.yml\n    ref: {SHA}", "  - project: g/none\n    file: c.yml", "  - local: d.yml"]
 MARKS = ["x = 1  # noqa", "y = 2  # noqa: E501, F401  # type: ignore[arg-type]", "z()  # nosec B101", "// eslint-disable-next-line no-eval", "/* eslint-disable */ int a; // NOLINT", "# pylint: disable=broad-except", "plain line"]
+GRADLE = ["version = '1.0'\nimplementation 'a.b:c:1.+'\n// api 'x:y:latest.release'\napi \"a:d:2.0-SNAPSHOT\"", "implementation('g:h:[1.0,2.0)')\nid 'org.p' version 'latest.release'", "version = '2-SNAPSHOT'\napi 'a:d:2.0-SNAPSHOT'\napi 'a:e:1.2.3@jar'", "dependencyLocking { lockAllConfigurations() }\nversion = '3'\napi 'a:b:+'\napi 'a:c:1-SNAPSHOT'", "api \"a:b:${v}\"; runtimeOnly 'k:l:1.+', 'm:n:RELEASE'"]
+_POM = "<project xmlns='http://maven.apache.org/POM/4.0.0'><groupId>o.x</groupId><version>{}</version><properties><v>{}</v></properties><dependencies><dependency><groupId>{}</groupId><artifactId>a</artifactId><version>${{v}}</version></dependency></dependencies></project>"
+# a project's own version, a property, the group of the dependency that uses it, what is wrong with it
+POMS = [("1.0", "[1,2)", "g.h", "range"), ("1.0", "2-SNAPSHOT", "g.h", "snapshot"), ("1.0", "2-SNAPSHOT", "o.x.sub", ""), ("1-SNAPSHOT", "2-SNAPSHOT", "g.h", ""), ("1.0", "LATEST", "o.x", "dynamic"), ("1.0", "1.2.3", "g.h", ""), ("${revision}", "2-SNAPSHOT", "g.h", ""), ("1.0", "${unset}", "g.h", ""), ("1.0", "${w}.+", "g.h", "")]
 
 
 def _with(spark: SparkSession, sf_dir: str, passages: list[str]) -> DataFrame:
@@ -61,3 +65,24 @@ _TOOLS = ", ".join(f"('{tool}', '{shape}')" for tool, shape in lines.SUPPRESSION
 SELECT repo_id, tool, count(*) AS n, count(*) FILTER (coalesce(rule, '') = '') AS blanket FROM f GROUP BY repo_id, tool""")
 def suppression_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.suppression_census(_with(spark, sf_dir, MARKS))
+
+
+_ISSUE = "CASE WHEN contains(version, '$') THEN '' WHEN version IN ('RELEASE', 'LATEST') OR starts_with(version, 'latest.') OR regexp_matches(version, '^[\\w.-]*[+]$') THEN 'dynamic' WHEN version[1] IN ('[', '(') THEN 'range' WHEN ends_with(version, '-SNAPSHOT') AND released THEN 'snapshot' ELSE '' END"
+
+
+@query(f"""WITH {_sql(GRADLE)}, own AS (SELECT path, regexp_extract(content, '(?m)^version = ''([^'']+)''', 1) AS v, contains(content, 'dependencyLocking') OR string_split(string_split(path, '/')[2], '.')[1]::INT % 3 = 0 AS locked FROM made),
+c AS (SELECT path, line_no, regexp_replace(line, '(^|\\s)//.*$', '') AS line FROM l), d AS (SELECT path, line_no, unnest(regexp_extract_all(line, '["''][\\w.-]+:[\\w.-]+:[^"'':@\\s]+(?:@[^"'']*)?["'']')) AS d FROM c),
+n AS (SELECT path, line_no, regexp_extract(d, '^.([^:]+:[^:]+):', 1) AS name, regexp_extract(d, '^.[^:]+:[^:]+:([^"''@]+)', 1) AS version FROM d UNION ALL SELECT path, line_no, regexp_extract(line, 'id ''([^'']+)'' version ''', 1), regexp_extract(line, 'id ''[^'']+'' version ''([^'']+)''', 1) FROM c WHERE regexp_matches(line, 'id ''[^'']+'' version ''')),
+i AS (SELECT n.*, locked, v <> '' AND NOT ends_with(v, '-SNAPSHOT') AS released FROM n JOIN own USING (path)), j AS (SELECT *, {_ISSUE} AS issue FROM i) SELECT string_split(path, '.')[1] || '/build.gradle' AS path, line_no, name, version, issue FROM j WHERE issue = 'snapshot' OR issue <> '' AND NOT locked""")
+def gradle_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.regexp_extract("path", r"^(.*)\.txt$", 1)
+    builds = _with(spark, sf_dir, GRADLE)
+    locks = builds.where("doc_id % 3 = 0").withColumn("path", F.concat(folder, F.lit("/gradle.lockfile"))).withColumn("content", F.lit(""))
+    return lines.gradle_pins(builds.withColumn("path", F.concat(folder, F.lit("/build.gradle"))).unionByName(locks)).drop("repo_id")
+
+
+@query(f"""WITH {FILES_SQL}, poms(k, grp, version, issue) AS (VALUES {', '.join(f"({i}, '{g}', '${{v}}', '{issue}')" for i, (_, _, g, issue) in enumerate(POMS))}) SELECT path, grp || ':a' AS coordinate, version, issue FROM files JOIN poms ON k = doc_id % {len(POMS)} WHERE issue <> ''""")
+def maven_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pom = F.element_at(F.array(*[F.lit(_POM.format(*p[:3])) for p in POMS]), (F.col("doc_id") % len(POMS) + 1).cast("int"))
+    made = files(spark, sf_dir).withColumn("content", F.concat(F.lit("<!-- "), F.regexp_replace("content", "[^A-Za-z0-9 ]+", " "), F.lit(" -->\n"), pom))
+    return lines.maven_pins(made).drop("repo_id")
