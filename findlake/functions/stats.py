@@ -9,7 +9,11 @@ Z95 = 1.959964
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
-    """Lower and upper end of the Wilson score interval; null without trials. n may be an effective size."""
+    """Lower and upper end of the Wilson score interval; null without trials. n may be an effective size.
+
+    n is made a double first: the square of a count of 23,171 is no int.
+    """
+    n = n.cast("double")
     p, z2 = k / n, z * z
     den = 1 + F.lit(z2) / n
     centre = (p + F.lit(z2) / (2 * n)) / den
