@@ -2,7 +2,8 @@
 
 nodes: id, kind, name (and what else they carry); edges: source, target, type. Walks are loops over frontiers: one join,
 one anti join with what was reached and one cut of the lineage a hop, so that a hop costs its frontier and its edges,
-and a node is reached once. Neighbour ties go by name, then id.
+and a node is reached once. A frontier of up to FEW nodes goes to the edges and nodes, which are then read but not moved.
+Walks take edges as a set, so these may repeat. Neighbour ties go by name, then id.
 """
 
 from __future__ import annotations
@@ -24,6 +25,13 @@ SINGLE_HOP = ("follows", "recurs")
 STRUCTURAL = ("defines", "contains")
 HUBS = ("cwe", "rule")
 HUB_EDGES = ("violates", "classified_as")
+#: Rows that are sent to every executor, some 80 MB.
+FEW = 1_000_000
+
+
+def _meet(few: DataFrame, many: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many joined with few, which has been cut before; the many stay where they are unless there are too many of the few."""
+    return many.join(F.broadcast(few) if few.count() <= FEW else few, key, how)
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:
@@ -48,20 +56,22 @@ def find_nodes(nodes: DataFrame, text: str) -> DataFrame:
     return found.join(F.broadcast(best), F.col("rank") == F.col("best")).drop("rank", "best")  # one row
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, undirected: bool = False, names: DataFrame | None = None) -> DataFrame:
-    """node, hops, parent of everything within some hops of the seeds (column node)."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, undirected: bool = False, names: DataFrame | None = None, until: str | None = None) -> DataFrame:
+    """node, hops, parent of everything within some hops of the seeds (column node), or of the hops up to the one that reaches the node until."""
     out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     if undirected:
         out = out.union(out.select(F.col("b"), F.col("a")))
-    out = out.distinct()
-    if names is not None:
-        out = out.join(names.select(F.col("id").alias("a"), F.col("name").alias("tie")), "a")
-    else:
-        out = out.withColumn("tie", F.col("a"))
     start = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")))
     layers, seen, frontier = [start], start.select("node"), start
     for hop in range(1, depth + 1):
-        step = frontier.select(F.col("node").alias("a")).join(out, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("tie", "a")).alias("first"))
+        if until is not None and not frontier.where(F.col("node") == until).isEmpty():
+            break
+        near = frontier.select(F.col("node").alias("a"))
+        if names is not None:
+            near = cut(_meet(near, names.select(F.col("id").alias("a"), F.col("name").alias("tie")), "a"))
+        else:
+            near = near.withColumn("tie", F.col("a"))
+        step = _meet(near, out, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("tie", "a")).alias("first"))
         frontier = cut(step.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops"), F.col("first.a").alias("parent")))
         if frontier.isEmpty():
             break
@@ -73,7 +83,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, undirected: bool = Fal
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 20) -> DataFrame:
     """step, node along a shortest undirected path (empty without one); ties go by the parent's id."""
     spark = edges.sparkSession
-    found = cut(reach(edges, spark.createDataFrame([(start,)], "node string"), most, undirected=True))
+    found = cut(reach(edges, spark.createDataFrame([(start,)], "node string"), most, undirected=True, until=end))
     path, node = [], end
     while node is not None and (row := found.where(F.col("node") == node).first()):  # one row a step of the answer
         path.append((row["hops"], node))
@@ -93,18 +103,19 @@ def lineage(nodes: DataFrame, edges: DataFrame, origin: str, direction: str, dep
     turned = F.col("type").isin(*up, *SINGLE_HOP)
     way = way.select(F.when(turned, F.col("target")).otherwise(F.col("source")).alias("above"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("below"), "type")
     a, b = ("above", "below") if direction == "down" else ("below", "above")
-    real = nodes.where("kind <> 'external'").select(F.col("id").alias("node"), "name")
-    steps = way.select(F.col(a).alias("a"), F.col(b).alias("node"), "type").join(real, "node")
+    real = nodes.where("kind <> 'external'").select(F.col("id").alias("node"))
+    steps = way.select(F.col(a).alias("a"), F.col(b).alias("node"), "type")
     start = cut(edges.sparkSession.createDataFrame([(origin, 0, None, None, True)], "node string, depth int, parent string, via string, inside boolean"))
     layers, frontier = [start], start
     for level in range(1, depth + 1):
-        next_ = frontier.select(F.col("node").alias("a"), "inside").join(steps, "a")
+        next_ = _meet(frontier.select(F.col("node").alias("a"), "inside"), steps, "a")
         structural, single = F.col("type").isin(*STRUCTURAL), F.col("type").isin(*SINGLE_HOP)
         next_ = next_.where(F.lit(level == 1) | ~single)
         if direction == "down":
             next_ = next_.where(F.col("inside") | ~structural)
         best = next_.groupBy("node").agg(F.min(F.struct("a", "type", "inside")).alias("f"))
-        fresh = best.join(reduce(DataFrame.unionByName, layers).select("node"), "node", "left_anti")
+        fresh = cut(best.join(reduce(DataFrame.unionByName, layers).select("node"), "node", "left_anti"))
+        fresh = fresh.join(_meet(fresh.select("node"), real, "node", "left_semi").distinct(), "node", "left_semi")
         frontier = cut(fresh.select("node", F.lit(level).alias("depth"), F.col("f.a").alias("parent"), F.col("f.type").alias("via"), (F.col("f.inside") & F.col("f.type").isin(*STRUCTURAL)).alias("inside")))
         if frontier.isEmpty():
             break
@@ -118,13 +129,14 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2)
     kinds = nodes.select(F.col("id").alias("node"), "kind")
     some = edges.where(~F.col("type").isin(*CODE_FLOW, "follows"))
     both = some.select(F.col("source").alias("a"), F.col("target").alias("node"), "type").union(some.select(F.col("target"), F.col("source"), "type"))
-    start = cut(seeds.select("node").distinct().join(kinds, "node").select("node", "kind", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")))
+    start = cut(_meet(cut(seeds.select("node").distinct()), kinds, "node").select("node", "kind", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")))
     layers, frontier = [start], start
     for hop in range(1, depth + 1):
-        step = frontier.select(F.col("node").alias("a"), F.col("kind").alias("from_kind")).join(both, "a")
+        step = _meet(frontier.select(F.col("node").alias("a"), F.col("kind").alias("from_kind")), both, "a")
         step = step.where(~F.col("type").isin(*HUB_EDGES) | F.col("from_kind").isin(*HUBS))
-        best = step.groupBy("node").agg(F.min("type").alias("via")).join(kinds, "node")
-        frontier = cut(best.join(reduce(DataFrame.unionByName, layers).select("node"), "node", "left_anti").select("node", "kind", F.lit(hop).alias("hops"), "via"))
+        best = step.groupBy("node").agg(F.min("type").alias("via"))
+        fresh = cut(best.join(reduce(DataFrame.unionByName, layers).select("node"), "node", "left_anti"))
+        frontier = cut(_meet(fresh, kinds, "node").select("node", "kind", F.lit(hop).alias("hops"), "via"))
         if frontier.isEmpty():
             break
         layers.append(frontier)

@@ -17,11 +17,12 @@ nodes AS (SELECT 'r' || r_regionkey AS id, 'region' AS kind, r_name AS name FROM
   UNION ALL SELECT 'o' || o_orderkey, 'order', o_orderstatus FROM orders UNION ALL SELECT 'p' || p_partkey, 'part', p_name FROM part UNION ALL SELECT 'cwe' || x, 'cwe', 'CWE-' || x FROM range(5) t(x))"""
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _graph(spark: SparkSession, sf_dir: str, repeats: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes, edges; with repeats an edge may stand more than once, which walks do not mind and which saves moving them."""
     t = lambda name: table(spark, sf_dir, name)
     edge = lambda df, a, b, kind: df.selectExpr(f"concat({a}) as source", f"concat({b}) as target", f"'{kind}' as type")
     node = lambda df, a, kind, name: df.selectExpr(f"concat({a}) as id", f"{kind} as kind", f"{name} as name")
-    edges = [edge(t("nation"), "'r', n_regionkey", "'n', n_nationkey", "contains"), edge(t("customer"), "'n', c_nationkey", "'c', c_custkey", "contains"), edge(t("supplier"), "'n', s_nationkey", "'s', s_suppkey", "touches"), edge(t("orders"), "'o', o_orderkey", "'c', o_custkey", "delivers"), edge(t("lineitem").select("l_partkey", "l_orderkey").distinct(), "'p', l_partkey", "'o', l_orderkey", "affects"), edge(t("orders"), "'o', o_orderkey", "'cwe', o_orderkey % 5", "classified_as")]
+    edges = [edge(t("nation"), "'r', n_regionkey", "'n', n_nationkey", "contains"), edge(t("customer"), "'n', c_nationkey", "'c', c_custkey", "contains"), edge(t("supplier"), "'n', s_nationkey", "'s', s_suppkey", "touches"), edge(t("orders"), "'o', o_orderkey", "'c', o_custkey", "delivers"), edge(t("lineitem") if repeats else t("lineitem").select("l_partkey", "l_orderkey").distinct(), "'p', l_partkey", "'o', l_orderkey", "affects"), edge(t("orders"), "'o', o_orderkey", "'cwe', o_orderkey % 5", "classified_as")]
     nodes = [node(t("region"), "'r', r_regionkey", "'region'", "r_name"), node(t("nation"), "'n', n_nationkey", "'nation'", "n_name"), node(t("customer"), "'c', c_custkey", "'customer'", "c_name"), node(t("supplier"), "'s', s_suppkey", "case when s_suppkey % 4 = 0 then 'external' else 'supplier' end", "s_name"), node(t("orders"), "'o', o_orderkey", "'order'", "o_orderstatus"), node(t("part"), "'p', p_partkey", "'part'", "p_name"), node(spark.range(5), "'cwe', id", "'cwe'", "concat('CWE-', id)")]
     for parts in (edges, nodes):
         while len(parts) > 1:
@@ -36,34 +37,34 @@ def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {GRAPH_SQL}, b(node, hops) AS (SELECT 'r1', 0 UNION SELECT target, hops + 1 FROM b JOIN edges ON source = node WHERE hops < 3) SELECT node, min(hops) AS hops FROM b GROUP BY node")
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(_graph(spark, sf_dir)[1], spark.createDataFrame([("r1",)], "node string"), 3).select("node", "hops")
+    return graph.reach(_graph(spark, sf_dir, repeats=True)[1], spark.createDataFrame([("r1",)], "node string"), 3).select("node", "hops")
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, u AS (SELECT source AS a, target AS b FROM edges WHERE type <> 'classified_as' UNION SELECT target, source FROM edges WHERE type <> 'classified_as'), b(node, hops) AS (SELECT 'c1', 0 UNION SELECT u.b, hops + 1 FROM b JOIN u ON u.a = node WHERE hops < 4) SELECT min(hops)::INT AS step FROM b WHERE node = 'r' || (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = 1) UNION ALL SELECT unnest(range(0, 2))::INT""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "customer").where("c_custkey = 1").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
-    edges = _graph(spark, sf_dir)[1].where("type <> 'classified_as'")
+    edges = _graph(spark, sf_dir, repeats=True)[1].where("type <> 'classified_as'")
     return graph.shortest_path(edges, "c1", f"r{region}", 4).select("step")
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, real AS (SELECT id FROM nodes WHERE kind <> 'external'), w AS (SELECT source AS a, target AS b, type IN ('contains', 'defines') AS s FROM edges WHERE type IN ('contains', 'touches') UNION ALL SELECT target, source, false FROM edges WHERE type IN ('delivers', 'affects', 'classified_as')),
 l(node, depth, inside) AS (SELECT 'n3', 0, true UNION SELECT b, depth + 1, inside AND s FROM l JOIN w ON a = node JOIN real ON id = b WHERE depth < 4 AND (inside OR NOT s)) SELECT node, min(depth) AS depth FROM l WHERE node <> 'n3' GROUP BY node""")
 def lineage_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir, repeats=True)
     return graph.lineage(nodes, edges, "n3", "down", 4).select("node", "depth")
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, real AS (SELECT id FROM nodes WHERE kind <> 'external'), w AS (SELECT target AS a, source AS b FROM edges WHERE type IN ('contains', 'touches') UNION ALL SELECT source, target FROM edges WHERE type IN ('delivers', 'affects', 'classified_as')),
 l(node, depth) AS (SELECT 'p5', 0 UNION SELECT b, depth + 1 FROM l JOIN w ON a = node JOIN real ON id = b WHERE depth < 6) SELECT node, min(depth) AS depth FROM l WHERE node <> 'p5' GROUP BY node""")
 def lineage_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir, repeats=True)
     return graph.lineage(nodes, edges, "p5", "up", 6).select("node", "depth")
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, u AS (SELECT source AS a, target AS b, type FROM edges UNION ALL SELECT target, source, type FROM edges), seeds AS (SELECT id FROM nodes WHERE id IN ('c7', 'cwe2', 'o12')),
 i(node, hops) AS (SELECT id, 0 FROM seeds UNION SELECT b, hops + 1 FROM i JOIN u ON a = node WHERE hops < 2 AND (type <> 'classified_as' OR starts_with(node, 'cwe'))) SELECT node, min(hops) AS hops FROM i GROUP BY node""")
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir, repeats=True)
     return graph.impact(nodes, edges, spark.createDataFrame([("c7",), ("cwe2",), ("o12",)], "node string"), 2).select("node", "hops")
 
 
