@@ -27,6 +27,8 @@ HUBS = ("cwe", "rule")
 HUB_EDGES = ("violates", "classified_as")
 #: Rows that are sent to every executor, some 80 MB.
 FEW = 1_000_000
+#: Rows of which one task holds the distinct ones.
+PART_ROWS = 250_000
 
 
 def _meet(few: DataFrame, many: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -41,10 +43,18 @@ def unique_edges(edges: DataFrame) -> DataFrame:
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, in_degree, out_degree of every node, isolated ones too."""
-    ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target", F.lit(0), F.lit(1)))
-    sums = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
+    """id, in_degree, out_degree of every node, isolated ones too; nodes have an id each. One pass over the edges, one aggregation with the nodes among the ends, no join."""
+    ends = edges.selectExpr("stack(2, source, 1L, 0L, target, 0L, 1L) as (id, o, i)").where("id is not null")
+    every = ends.select("id", "i", "o", F.lit(False).alias("node")).union(nodes.select("id", F.lit(0), F.lit(0), F.lit(True)))
+    sums = every.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.bool_or("node").alias("node"))
+    return sums.where("node").drop("node")
+
+
+def distinct_in_parts(rows: DataFrame) -> DataFrame:
+    """Distinct rows in as many parts as keep one to PART_ROWS, whatever number of partitions the session sets."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    return rows.repartition(n, *rows.columns).distinct()
 
 
 def find_nodes(nodes: DataFrame, text: str) -> DataFrame:

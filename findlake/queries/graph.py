@@ -22,7 +22,7 @@ def _graph(spark: SparkSession, sf_dir: str, repeats: bool = False) -> tuple[Dat
     t = lambda name: table(spark, sf_dir, name)
     edge = lambda df, a, b, kind: df.selectExpr(f"concat({a}) as source", f"concat({b}) as target", f"'{kind}' as type")
     node = lambda df, a, kind, name: df.selectExpr(f"concat({a}) as id", f"{kind} as kind", f"{name} as name")
-    edges = [edge(t("nation"), "'r', n_regionkey", "'n', n_nationkey", "contains"), edge(t("customer"), "'n', c_nationkey", "'c', c_custkey", "contains"), edge(t("supplier"), "'n', s_nationkey", "'s', s_suppkey", "touches"), edge(t("orders"), "'o', o_orderkey", "'c', o_custkey", "delivers"), edge(t("lineitem") if repeats else t("lineitem").select("l_partkey", "l_orderkey").distinct(), "'p', l_partkey", "'o', l_orderkey", "affects"), edge(t("orders"), "'o', o_orderkey", "'cwe', o_orderkey % 5", "classified_as")]
+    edges = [edge(t("nation"), "'r', n_regionkey", "'n', n_nationkey", "contains"), edge(t("customer"), "'n', c_nationkey", "'c', c_custkey", "contains"), edge(t("supplier"), "'n', s_nationkey", "'s', s_suppkey", "touches"), edge(t("orders"), "'o', o_orderkey", "'c', o_custkey", "delivers"), edge(t("lineitem") if repeats else graph.distinct_in_parts(t("lineitem").select("l_partkey", "l_orderkey")), "'p', l_partkey", "'o', l_orderkey", "affects"), edge(t("orders"), "'o', o_orderkey", "'cwe', o_orderkey % 5", "classified_as")]
     nodes = [node(t("region"), "'r', r_regionkey", "'region'", "r_name"), node(t("nation"), "'n', n_nationkey", "'nation'", "n_name"), node(t("customer"), "'c', c_custkey", "'customer'", "c_name"), node(t("supplier"), "'s', s_suppkey", "case when s_suppkey % 4 = 0 then 'external' else 'supplier' end", "s_name"), node(t("orders"), "'o', o_orderkey", "'order'", "o_orderstatus"), node(t("part"), "'p', p_partkey", "'part'", "p_name"), node(spark.range(5), "'cwe', id", "'cwe'", "concat('CWE-', id)")]
     for parts in (edges, nodes):
         while len(parts) > 1:

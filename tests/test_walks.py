@@ -66,3 +66,16 @@ def test_walks_give_the_same_rows_from_large_frontiers_and_repeated_edges(spark,
     assert all(small)
     monkeypatch.setattr(graph, "FEW", 0)
     assert [rows(w(edges)) for w in walks] == small
+
+
+def test_degrees_join_nothing_and_distinct_edges_go_to_enough_parts(spark, tables, monkeypatch):
+    nodes, edges = tables
+    found = graph.degrees(nodes, edges)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    ids = {n[0] for n in rows(nodes)}
+    ends = [(r.source, r.target) for r in edges.collect()]
+    assert {i for i, _, _ in rows(found)} == ids and len(rows(found)) == len(ids)
+    assert rows(found) == sorted((i, sum(b == i for _, b in ends), sum(a == i for a, _ in ends)) for i in ids)
+    monkeypatch.setattr(graph, "PART_ROWS", 5)
+    parts = graph.distinct_in_parts(edges)
+    assert rows(parts) == rows(edges.distinct()) and parts.rdd.getNumPartitions() == -(-edges.count() // 5)
