@@ -73,6 +73,21 @@ def test_ground_truth_uses_each_finding_once(spark):
     assert sorted((r.item, r.seq) for r in matching.ground_truth(expected, rows).collect()) == [("x1", 1), ("x2", 2), ("x3", None), ("x4", None)]
 
 
+def test_one_file_with_many_findings_is_settled_without_holding_each_against_all(spark):
+    import time
+
+    n, BIG = 20_000, 1 << 60  # a float does not hold such a number
+    made = spark.range(n).selectExpr(f"id + {BIG}L as seq", "'p' as path", "case when id % 2 = 0 then 'secret/a' else 'b' end as rule_id", "'Some title' as title", "'security' as dimension", "cast(id as string) as id", "'r' as repo_id", "cast(id * 10 + 1 as int) as start_line")
+    items = spark.range(n).selectExpr("concat('x', id) as item", "'p' as path", "cast(id as int) as ord", "'secret & title' as match", "cast(null as string) as dimension")
+    begun = time.time()
+    found = sorted((int(r.item[1:]), r.seq) for r in matching.ground_truth(items, made).collect())
+    assert found == [(i, BIG + 2 * i if i < n // 2 else None) for i in range(n)]
+    other = made.selectExpr("seq + 100000 as seq", "path", "rule_id", "title", "dimension", "concat('y', id) as id", "repo_id", "start_line + 1000000 as start_line")
+    pairs = sorted((r.a, r.b, r.how) for r in matching.compare(made, other).collect())
+    assert pairs == [(BIG + i, BIG + 100_000 + i, "wording") for i in range(n)]
+    assert time.time() - begun < 60  # every pair of one file: 400 million
+
+
 def test_path_patterns():
     import re
 
